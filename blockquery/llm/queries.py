@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = (
     "token_count",
+    "language_id",
+    "secrets",
     "pieces",
 )
 
