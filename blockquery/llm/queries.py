@@ -12,6 +12,7 @@ _MODULES = (
     "language_id",
     "secrets",
     "pieces",
+    "chat",
 )
 
 
