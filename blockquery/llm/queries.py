@@ -11,6 +11,7 @@ _MODULES = (
     "token_count",
     "language_id",
     "secrets",
+    "fingerprint",
     "pieces",
     "chat",
 )
