@@ -12,6 +12,7 @@ _MODULES = (
     "language_id",
     "secrets",
     "fingerprint",
+    "decontaminate",
     "jaccard_join",
     "pieces",
     "chat",
