@@ -15,6 +15,7 @@ _MODULES = (
     "decontaminate",
     "jaccard_join",
     "pieces",
+    "ctw",
     "chat",
 )
 
