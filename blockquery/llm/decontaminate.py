@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockquery.llm.common import Words, slices, text_column
-from blockquery.session import table
+from blockquery.session import stored, table
 
 RANK = 256
 POWER_ITERATIONS = 2
@@ -43,6 +43,7 @@ LCS_SURE, LCS_MAYBE, ANSWER = 0.6, 0.4, 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32 << 20
 SCALE_MIN = 16
+BROADCAST_IDS = 500_000
 _ANSWER = re.compile(r"\banswer\s*[:=]\s*(?P<answer>.+)\Z", re.I | re.S)
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*\Z", re.S)
 
@@ -312,6 +313,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of documents that hold no benchmark item."""
+    ids = stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, id_col, "left_anti").select(docs.columns)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contaminated document of the whole table with the items it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -422,6 +422,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows, with all their columns, of one document of each group: that with the component's id.
+
+    Rows without an id or a shingle stay; of repeated rows with one id one stays.
+    """
+    found = jaccard_components(docs, id_col, text_col, width)
+    found = stored(found.where("doc_id is not null"), "components")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, id_col, "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, id_col, "left_anti").unionByName(once).select(docs.columns)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -244,6 +244,23 @@ def predict(docs: DataFrame, model: PpmTable, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_identified(docs: DataFrame, model: PpmTable, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = text_column(batch, text_col)
+            for a, b in slices(texts):
+                lang, _, _ = classify(scorer, texts.slice(a, b - a))
+                yield batch.slice(a, b - a).filter(pa.array([x != UNKNOWN_LANGUAGE for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(scorer: Scorer, texts) -> tuple[list[str], list[float], list[float]]:
     """Language, posterior under an even prior, and bits per byte of each text of a large_string array."""
     languages = scorer.model.languages

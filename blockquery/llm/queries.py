@@ -16,6 +16,7 @@ _MODULES = (
     "jaccard_join",
     "pieces",
     "ctw",
+    "suffix_dedup",
     "chat",
 )
 
