@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockquery.plans import documents
+from blockquery.plans import documents, tables
 
-_MODULES = (documents,)
+_MODULES = (documents, tables)
 
 FLAGSHIP = documents.decision_summary
 
