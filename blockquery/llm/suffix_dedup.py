@@ -32,7 +32,8 @@ from blockquery.session import stored, table
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 768 << 10
+SLICE = 1 << 20
 BROADCAST_BYTES = 48 << 20
 ANCHOR = np.dtype([("h", "<u8"), ("start", "<u4"), ("n", "<u2")])
 ENTRY = np.dtype([("h", "<u8"), ("key", "<i8"), ("start", "<u4"), ("n", "<u2")])
@@ -76,7 +77,7 @@ def scan_contents(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
         for batch in batches:
             texts = text_column(batch, "text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 data, offsets = column_bytes(texts.slice(a, b - a))
                 hashes = PrefixHash(data)
                 found = [anchors(data, hashes, x, y, length, gram).tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -164,7 +165,7 @@ def regions(rows: DataFrame, contents: DataFrame, wanted: DataFrame, length: int
         for batch in batches:
             texts = text_column(batch, "text")
             asked = batch.column("asked").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 data, offsets = column_bytes(texts.slice(a, b - a))
                 keys = content_key(PrefixHash(data), offsets)
                 out: list[tuple] = []
@@ -302,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = text_column(batch, "text")
             all_marks = batch.column("marks").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 data, offsets = column_bytes(texts.slice(a, b - a))
                 keys = content_key(PrefixHash(data), offsets) if any(all_marks[a:b]) else None
                 removed, spans, kept = [], [], []

@@ -238,7 +238,8 @@ def _run_lengths(text: np.ndarray) -> np.ndarray:
     """Equal symbols from each position on."""
     n = len(text)
     ends = np.append(np.flatnonzero(text[:-1] != text[1:]), n - 1)
-    return ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1
+    length = np.diff(ends, prepend=-1)
+    return np.repeat(ends, length) - np.arange(n) + 1
 
 
 def _induce(text, symbols, rising, stars, star_prefix, cap, memory_items):
