@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockquery.plans import documents, tables
+from blockquery.plans import documents, recognition, tables
 
-_MODULES = (documents, tables)
+_MODULES = (documents, tables, recognition)
 
 FLAGSHIP = documents.decision_summary
 
