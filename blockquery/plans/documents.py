@@ -9,7 +9,7 @@ from blockquery.functions import bands, text
 from blockquery.operators import evidence
 from blockquery.operators.evidence import Policy, Rule
 from blockquery.plans.sqlparts import PARTS
-from blockquery.session import table
+from blockquery.session import table, texts
 from blockquery.sources.blocks import markdown_blocks, text_blocks
 
 # Fixed values of the neutral profile.
@@ -33,7 +33,7 @@ SECTION = r"(?i)licen[sc]e|copyright"
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return text_blocks(table(spark, sf, "documents"), "lang", "source")
+    return text_blocks(texts(spark, sf, "documents"), "lang", "source")
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,14 +119,14 @@ def section_forward_fill(spark, sf):
 
 
 def redact_text(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     keys = text.blocking_findings(F.col("text"))
     return docs.select("doc_id", F.md5(text.redacted(F.col("text"))).alias("redacted_md5"), F.array_join(keys, ",").alias("findings"), F.size(keys).alias("risk_score"), F.array_join(text.blocking_findings(F.col("text"), blocking_only=True), ",").alias("blocking"), (F.size(text.blocking_findings(F.col("text"), blocking_only=True)) == 0).alias("online_allowed"))
 
 
 def secret_mask(spark, sf):
     """Secrets masked in every whole text; the stored message is cut at the ledger's length."""
-    return table(spark, sf, "documents").select("doc_id", text.masked_secrets(F.col("text"), 2000).alias("masked"))
+    return texts(spark, sf, "documents").select("doc_id", text.masked_secrets(F.col("text"), 2000).alias("masked"))
 
 
 def rule_evidence(spark, sf):
@@ -242,12 +242,12 @@ def section_rollup(spark, sf):
 
 
 def markdown_block_scan(spark, sf):
-    return markdown_blocks(table(spark, sf, "documents")).select("doc_id", "line_no", F.md5("text").alias("text_md5"), "block_type", "n_cells")
+    return markdown_blocks(texts(spark, sf, "documents")).select("doc_id", "line_no", F.md5("text").alias("text_md5"), "block_type", "n_cells")
 
 
 def duplicate_text(spark, sf):
     """Signatures that occur more than once; counts combine before the shuffle."""
-    docs = table(spark, sf, "documents").withColumn("signature", F.md5(text.signature(F.col("text")))).where(F.length(text.signature(F.col("text"))) >= 4)
+    docs = texts(spark, sf, "documents").withColumn("signature", F.md5(text.signature(F.col("text")))).where(F.length(text.signature(F.col("text"))) >= 4)
     return docs.groupBy("signature").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockquery.functions import bands, geometry, text
 from blockquery.operators import evaluate, layout, ledger
-from blockquery.session import table
+from blockquery.session import table, texts
 
 STEPS = ["click", "error", "purchase", "signup", "view"]
 CELL = 0.25
@@ -88,7 +88,7 @@ def _eval_rows(spark, sf):
     gold = labels.select(F.col("doc_id").alias("case_id"), F.explode(F.array(F.struct(F.lit("quality").alias("f"), F.when(F.col("toxic") == 1, "unknown").otherwise(F.col("quality").cast("string")).alias("e")), F.struct(F.lit("toxic").alias("f"), F.col("toxic").cast("string").alias("e")))).alias("g")).select(
         "case_id", F.col("g.f").alias("field_key"), F.col("g.e").alias("expected")
     )
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     quality = F.when(F.col("n_chars") > 1000, "1").when(F.col("n_chars") > 500, "unknown").otherwise("0")
     results = docs.select(F.col("doc_id").alias("case_id"), "lang", "n_chars", F.explode(F.array(F.struct(F.lit("quality").alias("f"), quality.alias("a")), F.struct(F.lit("toxic").alias("f"), F.lit("0").alias("a")))).alias("r")).select(
         "case_id", F.col("r.f").alias("field_key"), F.col("r.a").alias("actual"), (F.col("n_chars") % 3 != 0).alias("has_evidence"), (F.col("n_chars") > 2000).alias("auto_accepted"), "lang"
@@ -139,7 +139,7 @@ def gold_symmetric_difference(spark, sf):
 def cer_by_page(spark, sf):
     """Character error rate of every sentence against a copy with each fifth character dropped; bands by document."""
     ascii_only = F.regexp_replace("text", "[^\\x20-\\x7e\\n]", "")
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(ascii_only, "[\n.|]")).alias("page", "truth"))
+    lines = texts(spark, sf, "documents").select("doc_id", F.posexplode(F.split(ascii_only, "[\n.|]")).alias("page", "truth"))
     noisy = lines.select("doc_id", "page", F.regexp_replace("truth", "(....).", "$1").alias("text"))
     rates = evaluate.page_error_rates(noisy, lines)
     return rates.groupBy("doc_id").agg(
@@ -279,7 +279,7 @@ def html_payload_scan(spark, sf):
     """Headings, links, tags and visible words of every page, by expressions alone."""
     h = F.col("html")
     plain = F.regexp_replace(F.regexp_replace(h, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract(h, "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_count(h, F.lit("(?i)<a\\s")).alias("n_links"), F.regexp_count(h, F.lit("<[a-zA-Z]")).alias("n_tags"), F.size(text.terms(plain)).alias("n_words"), F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host"))
+    return texts(spark, sf, "pages").select("page_id", F.regexp_extract(h, "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_count(h, F.lit("(?i)<a\\s")).alias("n_links"), F.regexp_count(h, F.lit("<[a-zA-Z]")).alias("n_tags"), F.size(text.terms(plain)).alias("n_words"), F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host"))
 
 
 def bigram_overlap(spark, sf):
@@ -294,7 +294,7 @@ def bigram_overlap(spark, sf):
         return df.select(F.col(key), F.size(two).alias("n"), F.explode(two).alias("pair"))
 
     items = pairs(table(spark, sf, "benchmark"), "item_id").withColumnRenamed("n", "n_item")
-    docs = pairs(table(spark, sf, "documents"), "doc_id")
+    docs = pairs(texts(spark, sf, "documents"), "doc_id")
     shared = docs.join(items, "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n_item").alias("n_item"))
     score = F.col("shared") / F.col("n_item")
     return shared.groupBy("item_id").agg(F.min_by(F.struct("doc_id", F.round(score, 6).alias("score")), F.struct(-score, F.col("doc_id"))).alias("b"), F.count_if(score >= 0.22).alias("n_candidates")).select("item_id", "b.*", "n_candidates")
@@ -306,7 +306,7 @@ def text_similarity(spark, sf):
 
     title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
     slug = F.regexp_extract("url", "([^/]*)/?$", 1)
-    return table(spark, sf, "pages").select("page_id", F.round(sequence_ratio(title, slug), 6).alias("ratio"))
+    return texts(spark, sf, "pages").select("page_id", F.round(sequence_ratio(title, slug), 6).alias("ratio"))
 
 
 FN = {

@@ -52,3 +52,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is dealt over the cores; any larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text-heavy table, so that one small file does not leave all parsing to one core."""
+    return spread(table(spark, sf_dir, name))
