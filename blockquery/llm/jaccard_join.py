@@ -13,8 +13,9 @@ is routed by those shingles and every shingle that two classes share gets a
 tree. The order puts shingles that are frequent in a bounded sample last (it
 affects speed only). Trees of a first round take the first few routing shingles
 and join most near copies; later rounds take all of them, but only search
-between components that are not joined yet. A round searches one partner for
-each document and component, the next 32, the last all: no cap is final.
+between components that are not joined yet. A round takes for each document the
+partner with the best bound, the next the best eight, the last all: no cap is
+final.
 
 Rows reach Python packed; a group above ``BLOCK`` points is split into blocks
 that are searched in pairs, so no task gathers a whole hot group.
@@ -31,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ FREQUENT_SAMPLE = 4000
 FREQUENT_SHARE = 1 / 250
 LEAF, COARSE = 32, 16
 BLOCK = 2048
-PARTNERS = (1, 32, None)
+FIRST_PARTNERS = (1, 4)
+PARTNERS = (1, 8, None)
+COMPACT_ROWS = 200_000
 BROADCAST_IDS = 500_000
 HUB_CHUNK = 128
 
@@ -55,14 +59,29 @@ def prefix_length(n: int) -> int:
 
 
 def group_count(n: int) -> int:
-    """Groups of a set of n: the power of two from n/4 on, at least ``COARSE``."""
-    return max(COARSE, 1 << max(0, (n - 1).bit_length() - 2))
+    """Groups of a set of n: the power of two from n/2 on, at least ``COARSE``."""
+    return max(COARSE, 1 << max(0, (n - 1).bit_length() - 1))
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Shingles of each group; groups of a smaller power of two are sums of these."""
+def count_vector(shingles: np.ndarray) -> bytes:
+    """Shingles of each group, four bits each; groups of a smaller power of two are sums of these.
+
+    Where a group holds more than four bits can tell, the groups are made finer.
+    """
     groups = group_count(len(shingles))
-    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    while True:
+        counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max(initial=0) < 16:
+            counts = counts.astype(np.uint8)
+            return (counts[0::2] | (counts[1::2] << 4)).tobytes()
+        groups *= 2
+
+
+def unpacked_vector(blob: bytes) -> np.ndarray:
+    packed = np.frombuffer(blob, np.uint8)
+    out = np.empty(2 * len(packed), np.uint8)
+    out[0::2], out[1::2] = packed & 15, packed >> 4
+    return out
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -100,8 +119,8 @@ class CountTree:
             bound = np.minimum(self.high[at], self.high[i]).sum(axis=1)
             yield from ((i, int(j)) for j in at[7 * bound >= 3 * (self.least[at] + self.least[i])])
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index arrays of point pairs whose summed coordinate minima allow a link."""
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Index arrays of point pairs whose summed coordinate minima allow a link, and that bound over the sizes."""
         for i, j in self.leaf_pairs():
             a, b = self.leaves[i], self.leaves[j]
             need = 3 * (self.sizes[a][:, None] + self.sizes[b][None, :])
@@ -118,21 +137,42 @@ class CountTree:
                 for s in range(0, len(p), step):
                     u, v = p[s : s + step], q[s : s + step]
                     sums = np.minimum(x[u], y[v]).sum(axis=1)
-                    keep = 7 * sums >= 3 * (self.sizes[a[u]] + self.sizes[b[v]])
+                    total = self.sizes[a[u]] + self.sizes[b[v]]
+                    keep = 7 * sums >= 3 * total
                     if keep.any():
-                        yield a[u[keep]], b[v[keep]]
+                        yield a[u[keep]], b[v[keep]], sums[keep] / total[keep]
+
+
+def search(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], partners: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(id, smaller id) arrays of pairs between components: those of the best bounds of each point, or all."""
+    held: list[np.ndarray] = []
+    size = 0
 
+    def best(rows: np.ndarray) -> np.ndarray:
+        """The first partners of each point by relative bound, then by id."""
+        rows = rows[np.lexsort((rows["y"], -rows["score"], rows["x"]))]
+        first = np.flatnonzero(np.concatenate([[True], rows["x"][1:] != rows["x"][:-1]]))
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+        return rows[place < partners]
 
-def search(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], partners: int | None) -> set[tuple[int, int]]:
-    """(id, smaller id) pairs to verify: for each point and foreign component the first partners by id."""
-    found: dict[tuple[int, int], list[int]] = {}
-    for p, q in CountTree(sizes, vectors).pairs():
+    for p, q, score in CountTree(sizes, vectors).pairs():
         other = roots[p] != roots[q]
-        for x, y in zip(p[other].tolist(), q[other].tolist(), strict=True):
-            if ids[x] < ids[y]:
-                x, y = y, x
-            found.setdefault((int(ids[x]), int(roots[y])), []).append(int(ids[y]))
-    return {(x, y) for (x, _), ys in found.items() for y in sorted(set(ys))[:partners]}
+        x, y = ids[p[other]], ids[q[other]]
+        if not len(x):
+            continue
+        if partners is None:
+            yield np.maximum(x, y), np.minimum(x, y)
+            continue
+        rows = np.empty(2 * len(x), [("x", "<i8"), ("y", "<i8"), ("score", "<f8")])
+        rows["x"], rows["y"], rows["score"] = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(score[other], 2)
+        held.append(rows)
+        size += len(rows)
+        if size > COMPACT_ROWS:
+            held = [best(np.concatenate(held))]
+            size = len(held[0]) // 2
+    if held:
+        rows = best(np.concatenate(held))
+        yield np.maximum(rows["x"], rows["y"]), np.minimum(rows["x"], rows["y"])
 
 
 # ---------------------------------------------------------------- Spark stages
@@ -176,7 +216,7 @@ def sketch(rows: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         s = np.concatenate([s[frequent[at] != s], s[frequent[at] == s]])
                     route.append(s[: prefix_length(len(s))].tobytes() if len(s) else b"")
-                    vector.append(count_vector(s).tobytes() if len(s) else b"")
+                    vector.append(count_vector(s) if len(s) else b"")
                 columns = [batch.column("doc_id").slice(a, b - a), *(pa.array(c, pa.int64()) for c in (n, one, two)), *(pa.array(c, pa.binary()) for c in (route, vector))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "one", "two", "route", "vector"])
 
@@ -194,16 +234,17 @@ def routed(reps: DataFrame, first: int | None, ranges: int) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 routes = [np.frombuffer(x, "<u8")[:first] for x in part.column("route").to_pylist()]
-                lengths = [len(r) for r in routes]
-                rows = np.empty(sum(lengths), entry)
-                rows["h"] = np.concatenate(routes) if routes else []
-                rows["doc"] = np.repeat(part.column("doc_id").to_numpy(), lengths)
-                rows["root"] = np.repeat(part.column("root").to_numpy(), lengths)
-                place = ((rows["h"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                rows, place = rows[order], place[order]
+                owner = np.repeat(np.arange(len(routes), dtype=np.uint16), [len(r) for r in routes])
+                h = np.concatenate([np.zeros(0, np.uint64), *routes])
+                doc, root = part.column("doc_id").to_numpy(), part.column("root").to_numpy()
+                order = np.argsort(h)
+                h, owner = h[order], owner[order]
+                place = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 keys, cuts = np.unique(place, return_index=True)
-                blobs = [x.tobytes() for x in np.split(rows, cuts[1:])] if len(keys) else []
+                blobs = []
+                for x, y in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
+                    used, at = np.unique(owner[x:y], return_inverse=True)
+                    blobs.append(_packed_entries(h[x:y], at.astype("<u2"), doc[used], root[used]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["range", "entries"])
 
     packed = reps.select("doc_id", "root", "route").mapInArrow(run, "range long, entries binary")
@@ -212,7 +253,10 @@ def routed(reps: DataFrame, first: int | None, ranges: int) -> DataFrame:
         import pyarrow as pa
 
         for _, blobs in _by_range(batches):
-            rows = np.frombuffer(b"".join(blobs), entry)
+            parts = [_unpacked_entries(x) for x in blobs]
+            rows = np.empty(sum(len(h) for h, _, _ in parts), entry)
+            for k, name in enumerate(("h", "doc", "root")):
+                rows[name] = np.concatenate([p[k] for p in parts])
             rows = rows[np.lexsort((rows["doc"], rows["h"]))]
             cuts = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]]))
             size = np.diff(np.append(cuts, len(rows)))
@@ -235,6 +279,22 @@ def routed(reps: DataFrame, first: int | None, ranges: int) -> DataFrame:
     return ordered.mapInArrow(groups, "name long, size long, docs binary").dropDuplicates(["name", "size"])
 
 
+def _packed_entries(h: np.ndarray, at: np.ndarray, doc: np.ndarray, root: np.ndarray) -> bytes:
+    """Sorted hashes as differences, owners as places in lists of ids and components; compressed."""
+    steps = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    sizes = np.array([len(h), len(doc)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(sizes + steps + at.tobytes() + doc.astype("<i8").tobytes() + root.astype("<i8").tobytes())
+
+
+def _unpacked_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, "<i8", 2)
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n).T).view(np.uint64).ravel()
+    at = np.frombuffer(raw, "<u2", n, 16 + 8 * n)
+    doc, root = (np.frombuffer(raw, "<i8", m, 16 + 10 * n + 8 * m * k) for k in (0, 1))
+    return np.cumsum(steps, dtype=np.uint64), doc[at], root[at]
+
+
 def _by_range(batches):
     """Blobs of each range out of sorted batches."""
     current, blobs = None, []
@@ -289,9 +349,9 @@ def _members(pa, *columns):
     )
 
 
-def candidates(groups: DataFrame, points: DataFrame, partners: int | None, hub_only: bool) -> DataFrame:
+def candidates(groups: DataFrame, points: DataFrame, partners: int | None, first_round: bool) -> DataFrame:
     """Distinct (a, b) pairs, a > b, that the trees leave to verify."""
-    members = tree_members(groups, hub_only).join(points, "doc_id")
+    members = tree_members(groups, first_round).join(points, "doc_id")
     trees = members.repartition("name", "tree").sortWithinPartitions("name", "tree", "doc_id")
 
     def run(batches):
@@ -299,24 +359,22 @@ def candidates(groups: DataFrame, points: DataFrame, partners: int | None, hub_o
 
         def flush(group):
             ids, roots, sizes, vectors = zip(*group, strict=True)
-            if len(set(roots)) == 1:
-                return set()
-            return search(np.array(ids), np.array(roots), np.array(sizes), [np.frombuffer(v, "<u2") for v in vectors], partners)
+            if len(set(roots)) > 1:
+                for a, b in search(np.array(ids), np.array(roots), np.array(sizes), [unpacked_vector(v) for v in vectors], partners):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        current, group, found = None, [], set()
+        current, group = None, []
         for batch in batches:
-            for name, tree, *point in zip(*(batch.column(c).to_pylist() for c in ("name", "tree", "doc_id", "root", "n", "vector")), strict=True):
-                if group and (name, tree) != current:
-                    found |= flush(group)
-                    group = []
-                current = (name, tree)
-                group.append(point)
-            if len(found) > 20_000:
-                yield _pairs(pa, found)
-                found = set()
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                for name, tree, *point in zip(*(part.column(c).to_pylist() for c in ("name", "tree", "doc_id", "root", "n", "vector")), strict=True):
+                    if group and (name, tree) != current:
+                        yield from flush(group)
+                        group = []
+                    current = (name, tree)
+                    group.append(point)
         if group:
-            found |= flush(group)
-        yield _pairs(pa, found)
+            yield from flush(group)
 
     return trees.select("name", "tree", "doc_id", "root", "n", "vector").mapInArrow(run, "a long, b long").distinct()
 
@@ -327,50 +385,41 @@ def _pairs(pa, pairs: set[tuple[int, int]]):
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """The pairs that link, from the whole shingle sets of their documents."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    held = rows.join(ids, "doc_id", "left_semi")
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = text_column(batch, "text")
-            for a, b in slices(texts):
-                found = [s.tobytes() for s in shingle_sets(Words(texts.slice(a, b - a)), width)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(found, pa.binary())], names=["doc_id", "s"])
+    """The pairs that link, from the whole shingle sets of their documents.
 
-    documents = held.mapInArrow(sets, "doc_id long, s binary")
+    A pair meets at its smaller id; each chunk of ``HUB_CHUNK`` of its partners gets a copy of that
+    text. The pairs are matched to the texts by a broadcast after a check of their number.
+    """
     degree = pairs.groupBy("b").agg(F.count("*").alias("degree"))
     chunks = F.ceil(F.col("degree") / HUB_CHUNK).cast("long")
-    spread = pairs.join(degree, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), chunks))
-    leaves = spread.join(documents.withColumnRenamed("doc_id", "a"), "a").select("b", "chunk", "a", "s")
-    hubs = (
-        degree.join(documents.withColumnRenamed("doc_id", "b"), "b")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        .select("b", "chunk", F.lit(None).cast("long").alias("a"), "s")
-    )
-    together = hubs.unionAll(leaves).repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
+    leaves = pairs.join(degree, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), chunks).alias("chunk"), F.lit(True).alias("leaf"))
+    hubs = degree.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.lit(False).alias("leaf"))
+    wanted = stored(leaves.unionAll(hubs), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    met = rows.join(wanted, "doc_id").select("b", "chunk", "leaf", "doc_id", "text")
+    together = met.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "leaf")
 
     def run(batches):
         import pyarrow as pa
 
-        current, own, found = None, [], []
+        current, own = None, []
         for batch in batches:
-            for b, chunk, a, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if (b, chunk) != current:
-                    current, own = (b, chunk), []
-                s = np.frombuffer(s, "<u8")
-                if a is None:
-                    own.append(s)
-                    continue
-                for hub in own:
-                    shared = len(np.intersect1d(hub, s, assume_unique=True))
-                    if 7 * shared >= 3 * (len(hub) + len(s)) and shared:
-                        found.append((a, b))
-            yield _pairs(pa, set(found))
+            texts = text_column(batch, "text")
             found = []
+            for x, y in slices(texts):
+                part = batch.slice(x, y - x)
+                sets = shingle_sets(Words(texts.slice(x, y - x)), width)
+                for s, b, chunk, leaf, doc in zip(sets, *(part.column(k).to_pylist() for k in range(4)), strict=True):
+                    if (b, chunk) != current:
+                        current, own = (b, chunk), []
+                    if not leaf:
+                        own.append(s)
+                        continue
+                    for hub in own:
+                        shared = len(np.intersect1d(hub, s, assume_unique=True))
+                        if 7 * shared >= 3 * (len(hub) + len(s)) and shared:
+                            found.append((doc, b))
+            yield _pairs(pa, set(found))
 
     return together.mapInArrow(run, "a long, b long").distinct()
 
@@ -392,24 +441,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     member = stored(member, "member")
     copies = member.where("rep <> doc_id").select("doc_id").distinct()
-    points = stored(filled.join(copies, "doc_id", "left_anti").select("doc_id", "n", "route", "vector"), "points")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    points = filled.join(copies, "doc_id", "left_anti").select("doc_id", "n", "route", "vector")
 
-    roots = None
-    tried = None
-    for first, partners in [(FIRST_ROUTES, 1), *((None, k) for k in PARTNERS)]:
+    roots, tried, groups, routes = None, None, None, None
+    for first, partners in [*((FIRST_ROUTES, k) for k in FIRST_PARTNERS), *((None, k) for k in PARTNERS)]:
         if roots is None:
             labelled = points.withColumn("root", F.col("doc_id"))
         else:
             labelled = points.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        groups = stored(routed(labelled, first, ranges), "groups")
-        found = candidates(groups, labelled.select("doc_id", "root", "n", "vector"), partners, first is not None)
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = stored(found, "candidates")
+        if groups is None or routes != first:
+            # Components only grow: groups that span several now are all that later rounds can need.
+            groups, routes = stored(routed(labelled, first, ranges), "groups"), first
+        found = stored(candidates(groups, labelled.select("doc_id", "root", "n", "vector"), partners, first is not None), "candidates")
         if found.isEmpty():
-            if first is not None:
+            # Nothing is left between components: more partners cannot find more.
+            if first is None:
+                break
+            continue
+        if tried is not None:
+            found = stored(found.join(tried, ["a", "b"], "left_anti"), "untried")
+            if found.isEmpty():
                 continue
-            break
         links = verified(found, known, width)
         tried = found if tried is None else tried.unionAll(found)
         if roots is not None:
