@@ -14,7 +14,7 @@ tree. The order puts shingles that are frequent in a bounded sample last (it
 affects speed only). Trees of a first round take the first few routing shingles
 and join most near copies; later rounds take all of them, but only search
 between components that are not joined yet. A round takes for each document the
-partner with the best bound, the next the best eight, the last all: no cap is
+partner with the best bound, a later one the best few, the last all: no cap is
 final.
 
 Rows reach Python packed; a group above ``BLOCK`` points is split into blocks
@@ -47,7 +47,7 @@ FREQUENT_SHARE = 1 / 250
 LEAF, COARSE = 32, 16
 BLOCK = 2048
 FIRST_PARTNERS = (1, 4)
-PARTNERS = (1, 8, None)
+PARTNERS = (1, None)
 COMPACT_ROWS = 200_000
 BROADCAST_IDS = 500_000
 HUB_CHUNK = 128
