@@ -9,7 +9,10 @@
    lengths. A window whose shared words cannot reach the cosine ``COSINE`` with
    any item of the scale is passed over; the others are projected, and an item
    is a candidate if their latent cosine, relative to the share of the item
-   that the latent directions hold, reaches it.
+   that the latent directions hold, reaches it. The cosine sinks where many
+   documents hold an item, as its words then weigh less than those around it.
+   So a window is a candidate too if the words around it hold enough of the
+   item's weight for step 4, however much else they hold.
 4. A candidate is verified on the words around the window: the idf-weighted
    longest common subsequence must cover ``LCS_SURE`` of the item, or
    ``LCS_MAYBE`` of it together with ``ANSWER`` of the item's answer words (the
@@ -44,6 +47,7 @@ BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32 << 20
 SCALE_MIN = 16
 BROADCAST_IDS = 500_000
+SHARE_EVENTS = 1 << 20
 _ANSWER = re.compile(r"\banswer\s*[:=]\s*(?P<answer>.+)\Z", re.I | re.S)
 _SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*\Z", re.S)
 
@@ -107,6 +111,30 @@ class Benchmark:
         norm = np.array([np.sqrt((self.idf[np.unique(np.searchsorted(self.vocabulary, w))] ** 2).sum()) for w in self.words])
         self.shortest = {int(x): float(norm[self.scales == x].min()) for x in np.unique(self.scales)}
 
+        self._index_rare_words()
+
+    def _index_rare_words(self) -> None:
+        """Postings of each item's rarer words with their share of its weight.
+
+        The words left out, its most frequent ones, have at most half of LCS_MAYBE
+        together: where LCS_MAYBE is reached, the rarer ones have the rest (``least``).
+        """
+        found = []
+        self.least = np.zeros(len(self.words))
+        for k, w in enumerate(self.words):
+            columns, count = np.unique(np.searchsorted(self.vocabulary, w), return_counts=True)
+            share = self.idf[columns] * count
+            share /= share.sum()
+            order = np.argsort(self.idf[columns], kind="stable")
+            left = np.cumsum(share[order])
+            n = int(np.searchsorted(left, LCS_MAYBE / 2, "right"))
+            self.least[k] = LCS_MAYBE - (left[n - 1] if n else 0) - 1e-9
+            found.append((columns[order[n:]], np.full(len(order) - n, k), share[order[n:]]))
+        columns, items, shares = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(columns, kind="stable")
+        self.posting_items, self.posting_shares = items[order], shares[order]
+        self.posting_bounds = np.searchsorted(columns[order], np.arange(len(self.vocabulary) + 1))
+
     def item_rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Sparse unit rows of the items: (columns, values)."""
         return [self.row_of(w) for w in self.words]
@@ -130,9 +158,8 @@ class Benchmark:
         # A window equal to the item scores 1, however much of the item the directions hold.
         self.latent /= np.maximum((self.latent**2).sum(axis=1, keepdims=True), 1e-9)
 
-    def windows(self, words: Words, h: np.ndarray):
-        """(scale, start words, end words, owners) of windows that may reach the cosine, with the vocabulary places."""
-        places = self.places(h)
+    def windows(self, words: Words, places: np.ndarray):
+        """(scale, start words, end words, owners) of windows that may reach the cosine, with the sums of outside weight."""
         inside = np.where(places >= 0, self.idf[places] if len(self.idf) else 0, 0) ** 2
         outside = np.where(places >= 0, 0, self.other**2)
         energy_in, energy_out = (np.concatenate([[0], np.cumsum(x)]) for x in (inside, outside))
@@ -146,7 +173,46 @@ class Benchmark:
             end = np.minimum(start + scale, words.bounds[owner + 1])
             a, b = energy_in[end] - energy_in[start], energy_out[end] - energy_out[start]
             ok = np.flatnonzero(a >= COSINE * self.shortest[int(scale)] * np.sqrt(a + b) - 1e-9)
-            yield int(scale), start[ok], end[ok], owner[ok], places, energy_out
+            yield int(scale), start[ok], end[ok], owner[ok], energy_out
+
+    def shares(self, words: Words, places: np.ndarray):
+        """(owners, items, start words, end words, shares) of windows whose surroundings hold ``least`` of an item."""
+        hit = np.flatnonzero(places >= 0)
+        fan = np.diff(self.posting_bounds)[places[hit]]
+        hit, fan = hit[fan > 0], fan[fan > 0]
+        owner = np.searchsorted(words.bounds, hit, "right") - 1
+        total = np.cumsum(fan)
+        if not len(hit):
+            return
+        ends = np.flatnonzero(np.append(owner[1:] != owner[:-1], True)) + 1
+        lo = 0
+        for end, after in zip(ends, [*ends[1:], None], strict=True):
+            if after is None or total[after - 1] - (total[lo - 1] if lo else 0) > SHARE_EVENTS:
+                yield self._shares(words, hit[lo:end], fan[lo:end], owner[lo:end], places)
+                lo = end
+
+    def _shares(self, words: Words, hit, fan, owner, places):
+        at = np.arange(fan.sum()) + np.repeat(self.posting_bounds[places[hit]] - np.cumsum(fan) + fan, fan)
+        item, share, doc, place = self.posting_items[at], self.posting_shares[at], np.repeat(owner, fan), np.repeat(hit, fan)
+        pair = doc * len(self.ids) + item
+        _, group = np.unique(pair, return_inverse=True)
+        ok = np.bincount(group, share)[group] >= self.least[item]
+        item, share, doc, place, pair = item[ok], share[ok], doc[ok], place[ok], pair[ok]
+        scale = self.scales[item]
+        step, n_words, place = scale // 4, np.diff(words.bounds)[doc], place - words.bounds[doc]
+        n = np.maximum(1, -(-(n_words - scale) // step) + 1)
+        first = np.maximum(0, (place - scale - scale // 2) // step + 1)
+        many = np.minimum(n - 1, (place + scale // 2) // step) - first + 1
+        k = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        most = int(n.max(initial=1))
+        found, head, group = np.unique(np.repeat(pair, many) * most + k, return_index=True, return_inverse=True)
+        total = np.bincount(group, np.repeat(share, many), len(found))
+        source = np.repeat(np.arange(len(pair)), many)[head]
+        ok = total >= self.least[item[source]]
+        source, k = source[ok], found[ok] % most
+        start = words.bounds[doc[source]] + k * step[source]
+        end = np.minimum(start + scale[source], words.bounds[doc[source] + 1])
+        return doc[source], item[source], start, end, total[ok]
 
     def rows_of(self, start, end, places, energy_out) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -255,8 +321,9 @@ def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
             for x, y in slices(texts):
                 words = Words(texts.slice(x, y - x))
                 h = words.hashes()
+                places = b.places(h)
                 best: dict[tuple[int, int], tuple] = {}
-                for scale, start, end, owner, places, energy_out in b.windows(words, h):
+                for scale, start, end, owner, energy_out in b.windows(words, places):
                     items = by_scale[scale]
                     for lo in range(0, len(start), 512):
                         part = slice(lo, lo + 512)
@@ -265,16 +332,27 @@ def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
                         for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
                             k, doc, value = items[q], int(owner[lo + p]), float(cosine[p, q])
                             if best.get((doc, k), (0,))[0] < value:
-                                best[doc, k] = (value, int(start[lo + p]), int(end[lo + p]), scale)
+                                best[doc, k] = (value, int(start[lo + p]), int(end[lo + p]))
+                full: dict[tuple[int, int], tuple] = {}
+                for found in b.shares(words, places):
+                    for doc, k, start_word, end_word, value in zip(*(x.tolist() for x in found), strict=True):
+                        if full.get((doc, k), (0,))[0] < value:
+                            full[doc, k] = (value, start_word, end_word)
                 out = []
-                for (doc, k), (value, start_word, end_word, scale) in sorted(best.items()):
-                    a = max(words.bounds[doc], start_word - scale // 2)
-                    z = min(words.bounds[doc + 1], end_word + scale // 2)
-                    around = h[a:z]
-                    lcs = weighted_lcs(b.words[k], around, weight[k]) / weight[k].sum()
-                    answer = float(np.isin(b.answers[k], around).mean())
-                    if lcs >= LCS_SURE or (lcs >= LCS_MAYBE and answer >= ANSWER):
-                        out.append((ids[x + doc], int(b.ids[k]), value, lcs, answer))
+                for doc, k in sorted(best.keys() | full.keys()):
+                    scale = int(b.scales[k])
+                    for _, start_word, end_word in (c[doc, k] for c in (best, full) if (doc, k) in c):
+                        a = max(words.bounds[doc], start_word - scale // 2)
+                        z = min(words.bounds[doc + 1], end_word + scale // 2)
+                        around = h[a:z]
+                        if weight[k][np.isin(b.words[k], around)].sum() < LCS_MAYBE * weight[k].sum() - 1e-9:
+                            continue
+                        lcs = weighted_lcs(b.words[k], around, weight[k]) / weight[k].sum()
+                        answer = float(np.isin(b.answers[k], around).mean())
+                        if lcs >= LCS_SURE or (lcs >= LCS_MAYBE and answer >= ANSWER):
+                            columns, values = b.rows_of([start_word], [end_word], places, energy_out)[0]
+                            out.append((ids[x + doc], int(b.ids[k]), float(values @ b.basis[columns] @ b.latent[k]), lcs, answer))
+                            break
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 columns = zip(*out, strict=True) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])

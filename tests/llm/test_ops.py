@@ -199,6 +199,17 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == set(range(32))
 
 
+def test_decontamination_finds_an_item_that_a_third_of_the_documents_copy(spark):
+    items = [" ".join(t.split()[:18]) for t in _prose(12, 22, 50)]
+    draw = random.Random(23)
+    others = [" ".join(f"{draw.choice('bcdfg')}{draw.randrange(900)}" for _ in range(100)) for _ in range(240)]
+    # Words outside the benchmark weigh most: the copied item's own are in a third of the documents.
+    texts = [f"{t} {items[0]} {t}" for t in others[:80]] + others[80:]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(_frame(spark, texts), bench).collect()}
+    assert got == {(k, 0) for k in range(80)}
+
+
 def test_latent_cosine_recall_against_brute_force(spark):
     """With as many directions as items the latent space holds every item: its cosines are the exact ones."""
     bench = decontaminate.Benchmark(list(enumerate(_prose(20, 30, 40))))
