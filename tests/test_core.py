@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from blockquery.functions import bands, geometry, text
-from blockquery.operators import evaluate, evidence, layout, ledger
+from blockquery.operators import evaluate, evidence, layout, ledger, ocr
+from blockquery.plans import recognition
 from blockquery.sources.blocks import markdown_blocks, text_blocks
 
 
@@ -29,6 +30,14 @@ def test_redaction_findings_and_masks(spark):
     assert row.r.startswith("mail [EMAIL] from [IP]") and row.f == ["email", "ip"] and "abcdef0123" not in row.m
 
 
+def test_noise_filter_sees_whole_texts(spark, tmp_path):
+    body = "\n\n".join(["123 apples in a basket", "x" * 200, "77", "word"])
+    _docs(spark, body).selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.reading_order for r in recognition.noise_filter(spark, str(tmp_path)).collect()) == [1, 2, 4]
+    boxes = spark.createDataFrame([("tiny", "text", [0.0, 0.0, 2000.0, 100.0]), ("label", "text", [0.0, 0.0, 2000.0, 100.0]), ("12", "cell", [0.0, 0.0, 9.0, 9.0])], "text string, block_type string, bbox array<double>")
+    assert {r.text for r in ocr.noise_filter(boxes).collect()} == {"label", "12"}
+
+
 RULES = [evidence.Rule("code", 1, "[0-9]+", 0, 0.9)]
 
 
