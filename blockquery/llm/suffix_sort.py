@@ -17,7 +17,8 @@ import tempfile
 
 import numpy as np
 
-MEMORY_ITEMS = 1 << 23
+#: An ordinary shard of suffix_dedup has more tuples than this: its queues go to disk.
+MEMORY_ITEMS = 1 << 16
 BASE_LENGTH = 1 << 23
 
 

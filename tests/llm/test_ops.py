@@ -185,6 +185,18 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[k] == 0 for k in range(21)) and all(got[100 + k] == 100 for k in range(15))
 
 
+def test_queues_of_an_ordinary_shard_go_to_disk(monkeypatch):
+    spills, spill = [], suffix_sort.TupleQueue._spill
+    monkeypatch.setattr(suffix_sort.TupleQueue, "_spill", lambda queue: (spills.append(queue.items), spill(queue)))
+    text = np.frombuffer(" ".join(_prose(1200, 24, 150)).encode()[: suffix_dedup.SHARD_BYTES], np.uint8).astype(np.int16) + 1
+    assert len(text) == suffix_dedup.SHARD_BYTES
+    order, prefix = suffix_sort.induced_sort(text, suffix_dedup.LENGTH)
+    assert spills
+    spills.clear()
+    whole = suffix_sort.induced_sort(text, suffix_dedup.LENGTH, 1 << 30)
+    assert not spills and np.array_equal(order, whole[0]) and np.array_equal(prefix, whole[1])
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark):
     items = _prose(6, 20, 50)
     clean = _prose(30, 21, 300)
