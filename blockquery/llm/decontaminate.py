@@ -322,7 +322,7 @@ def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
                 words = Words(texts.slice(x, y - x))
                 h = words.hashes()
                 places = b.places(h)
-                best: dict[tuple[int, int], tuple] = {}
+                near: dict[tuple[int, int], list[tuple]] = {}
                 for scale, start, end, owner, energy_out in b.windows(words, places):
                     items = by_scale[scale]
                     for lo in range(0, len(start), 512):
@@ -331,17 +331,16 @@ def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
                         cosine = latent @ b.latent[items].T
                         for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
                             k, doc, value = items[q], int(owner[lo + p]), float(cosine[p, q])
-                            if best.get((doc, k), (0,))[0] < value:
-                                best[doc, k] = (value, int(start[lo + p]), int(end[lo + p]))
-                full: dict[tuple[int, int], tuple] = {}
+                            near.setdefault((doc, k), []).append((value, int(start[lo + p]), int(end[lo + p])))
+                full: dict[tuple[int, int], list[tuple]] = {}
                 for found in b.shares(words, places):
                     for doc, k, start_word, end_word, value in zip(*(x.tolist() for x in found), strict=True):
-                        if full.get((doc, k), (0,))[0] < value:
-                            full[doc, k] = (value, start_word, end_word)
+                        full.setdefault((doc, k), []).append((value, start_word, end_word))
                 out = []
-                for doc, k in sorted(best.keys() | full.keys()):
+                for doc, k in sorted(near.keys() | full.keys()):
                     scale = int(b.scales[k])
-                    for _, start_word, end_word in (c[doc, k] for c in (best, full) if (doc, k) in c):
+                    # Best first, until one passes: a better aligned one may hold the words in another order.
+                    for _, start_word, end_word in (w for c in (near, full) for w in sorted(c.get((doc, k), ()), key=lambda w: -w[0])):
                         a = max(words.bounds[doc], start_word - scale // 2)
                         z = min(words.bounds[doc + 1], end_word + scale // 2)
                         around = h[a:z]

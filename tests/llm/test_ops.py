@@ -211,6 +211,16 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == set(range(32))
 
 
+def test_decontamination_looks_beyond_the_best_window(spark):
+    items, clean = _prose(6, 20, 50), [" ".join(f"q{n}" for n in range(200))] * 3
+    # At the very start the reversed item is the better aligned of the two.
+    w = items[2].split()
+    paraphrase = " ".join(x if k % 4 else "zzz" for k, x in enumerate(w))
+    texts = [" ".join([*w[::-1], clean[1], paraphrase, clean[2]]), " ".join([*w[::-1], clean[1]])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(_frame(spark, texts), bench).collect()] == [(0, 2)]
+
+
 def test_decontamination_finds_an_item_that_a_third_of_the_documents_copy(spark):
     items = [" ".join(t.split()[:18]) for t in _prose(12, 22, 50)]
     draw = random.Random(23)
