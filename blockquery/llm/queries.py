@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (
-    "token_count",
-    "language_id",
-    "secrets",
-    "fingerprint",
-    "decontaminate",
-    "jaccard_join",
-    "pieces",
-    "ctw",
-    "suffix_dedup",
-    "chat",
-)
+from blockquery.llm import chat, ctw, decontaminate, fingerprint, jaccard_join, language_id, pieces, secrets, suffix_dedup, token_count
 
-
-def _modules():
-    return [import_module(f"blockquery.llm.{name}") for name in _MODULES]
+_MODULES = (token_count, language_id, secrets, fingerprint, decontaminate, jaccard_join, pieces, ctw, suffix_dedup, chat)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: function for module in _modules() for name, function in module.QUERIES.items()}
+    return {name: function for module in _MODULES for name, function in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
+    return {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
