@@ -3,17 +3,19 @@
 Each language has a context tree over the last ``ORDER`` bytes with escape
 probabilities (method C, with exclusions). After training the counts are frozen,
 so the code length of a byte depends on its context alone and every tree
-becomes rows of one table: contexts x byte symbols x languages. A text's code
+becomes rows of its language's own table: contexts x byte symbols. A text's code
 length in a language is the exact sum of its bytes' table entries; the shortest
-code names the language.
+code names the language. Every context of the training texts is kept, and any
+number of languages.
 
 Training takes at most ``DOCS_PER_LANGUAGE`` whole documents a language, those
-with the lowest hash of their id among the labelled training rows. Order-3
-contexts beyond the ``MAX_CONTEXTS`` most frequent fall back to order 2 in every
-language, which bounds the table that is shipped to tasks.
+with the lowest hash of their id among the labelled training rows. Where the
+tables of all languages would exceed ``TABLE_BYTES``, which is what is shipped to
+tasks, it takes half as many, and so on.
 
-Defined results: ``und`` with score 0 for null texts, texts without a letter and
-when nothing was learned; ties go to the first language in name order; repeated
+Defined results: ``und`` with score 0 for null texts, texts without a letter
+(Unicode class L) and when nothing was learned; ties go to the first language in
+name order; a language that is itself named ``und`` is like any other; repeated
 rows each get their own row; other input columns are ignored.
 """
 
@@ -30,11 +32,11 @@ from blockquery.session import table
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400
-MAX_CONTEXTS = 12_000
-MAX_LANGUAGES = 64
+TABLE_BYTES = 256 << 20
+SALTS = 64
 SLICE = 1 << 20
 UNKNOWN_LANGUAGE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile(r"[A-Za-z]")
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,27 +53,26 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    return _LATIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 class PpmTable:
-    """Frozen code lengths of all languages: ``cost[context * symbols + symbol] -> bits per language``."""
+    """Frozen code lengths of one language: ``cost[context * symbols + symbol]`` in bits."""
 
-    def __init__(self, counts: dict[str, dict[int, int]]):
-        self.languages = sorted(counts)
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(self.languages)} languages exceed {MAX_LANGUAGES}")
-        grams = {lang: (np.fromiter(c.keys(), np.uint64, len(c)), np.fromiter(c.values(), np.int64, len(c))) for lang, c in counts.items()}
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         seen = np.zeros(257, bool)
         seen[256] = True
-        for keys, _ in grams.values():
-            seen[(keys & np.uint64(511)).astype(int)] = True
+        seen[(keys & np.uint64(511)).astype(int)] = True
         #: symbol 0: before the text; 1: any byte not seen in training; then the seen bytes
         self.code = np.ones(257, np.int32)
         self.code[256] = 0
         bytes_seen = np.flatnonzero(seen[:256])
         self.code[bytes_seen] = np.arange(2, 2 + len(bytes_seen))
-        self.size = size = 2 + len(bytes_seen)
+        self.size = 2 + len(bytes_seen)
         self.unseen = 256 - len(bytes_seen)
-        coded = {lang: (self._recode(keys), n) for lang, (keys, n) in grams.items()}
-        self._build(coded)
+        self._build(self._recode(keys), counts)
+        self._index()
 
     def _recode(self, keys: np.ndarray) -> np.ndarray:
         """Columns: context symbols farthest first, then the symbol itself."""
@@ -84,32 +85,34 @@ class PpmTable:
             key = key * self.size + columns[:, k]
         return key
 
-    def _build(self, coded: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        size = self.size
-        full = [np.zeros(0, np.int64)] + [np.repeat(self._pack(c[:, :ORDER]), 1) for c, _ in coded.values()]
-        weight = np.concatenate([np.zeros(0, np.int64)] + [n for _, n in coded.values()])
-        keys, where = np.unique(np.concatenate(full), return_inverse=True)
-        frequency = np.bincount(where, weights=weight, minlength=len(keys)) if len(keys) else np.zeros(0)
-        best = keys[np.lexsort((keys, -frequency))[:MAX_CONTEXTS]]
-        contexts = [np.sort(best)]
-        for k in range(1, ORDER + 1):
-            contexts.append(np.unique(np.concatenate([np.zeros(0, np.int64)] + [self._pack(c[:, k:ORDER]) for c, _ in coded.values()])))
+    def _build(self, columns: np.ndarray, counts: np.ndarray) -> None:
         #: contexts[k] has those of order ORDER-k; the last is the empty one
-        contexts[-1] = np.zeros(1, np.int64)
-        self.contexts = contexts
-        self.cost = np.zeros((sum(map(len, contexts)) * size, len(coded)), np.float32)
-        for column, lang in enumerate(self.languages):
-            symbols, n = coded[lang]
-            levels = []
-            for k in range(ORDER + 1):
-                cells, at = np.unique(self._pack(symbols[:, k:]), return_inverse=True)
-                levels.append((cells, np.bincount(at, weights=n, minlength=len(cells))))
-            row = 0
-            for k in range(ORDER + 1):
-                for a in range(0, len(contexts[k]), 2048):
-                    part = contexts[k][a : a + 2048]
-                    self.cost[row * size : (row + len(part)) * size, column] = self._bits(part, k, levels).ravel()
-                    row += len(part)
+        self.contexts = [np.unique(self._pack(columns[:, k:ORDER])) for k in range(ORDER)] + [np.zeros(1, np.int64)]
+        levels = []
+        for k in range(ORDER + 1):
+            cells, at = np.unique(self._pack(columns[:, k:]), return_inverse=True)
+            levels.append((cells, np.bincount(at, weights=counts, minlength=len(cells))))
+        parts = [self._bits(own[a : a + 2048], k, levels) for k, own in enumerate(self.contexts) for a in range(0, len(own), 2048)]
+        self.cost = np.concatenate(parts).astype(np.float32).ravel()
+
+    def _index(self) -> None:
+        """``tail[top[last two symbols], the one before]`` is the row of the longest context that was seen."""
+        size = self.size
+        third, second, first, _ = self.contexts
+        start = np.cumsum([0, *map(len, self.contexts)])
+        nearest = np.full(size, start[3], np.int32)
+        nearest[first] = start[2] + np.arange(len(first))
+        self.top = np.tile(np.arange(size, dtype=np.int32), size)
+        self.top[second] = size + np.arange(len(second))
+        self.tail = np.empty((size + len(second), size), np.int32)
+        self.tail[:size] = nearest[:, None]
+        self.tail[size:] = (start[1] + np.arange(len(second)))[:, None]
+        self.tail[self.top[third % size**2], third // size**2] = np.arange(len(third))
+        self.tail = self.tail.ravel()
+
+    @property
+    def nbytes(self) -> int:
+        return self.cost.nbytes + self.top.nbytes + self.tail.nbytes
 
     def _bits(self, contexts: np.ndarray, k: int, levels: list) -> np.ndarray:
         """Code lengths of every symbol in the given contexts of order ORDER-k."""
@@ -133,56 +136,62 @@ class PpmTable:
         probability[~done] = np.broadcast_to((left / np.maximum(rest, 1))[:, None], (m, size))[~done]
         return -np.log2(np.maximum(probability, 1e-30))
 
-    def lookup(self) -> np.ndarray:
-        """Row of the longest kept context, by the packed last ORDER symbols."""
-        size = self.size
-        out = np.zeros(size**ORDER, np.int32)
-        first = np.cumsum([0, *map(len, self.contexts)])
-        for k in range(ORDER, -1, -1):
-            shape = out.reshape(size**k, -1)
-            shape[:, self.contexts[k]] = np.arange(first[k], first[k + 1], dtype=np.int32)
-        return out
+    def bits(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Bits of each byte; ``begins[k]`` tells which bytes have at most k before them in their text."""
+        code = self.code[data]
+        before = []
+        for k in range(1, ORDER + 1):
+            symbol = np.zeros(len(code), np.int32)
+            symbol[k:] = code[:-k]
+            symbol[begins[k - 1]] = 0
+            before.append(symbol)
+        key = before[1] * self.size
+        key += before[0]
+        row = self.top[key] * self.size
+        row += before[2]
+        row = self.tail[row] * self.size
+        row += code
+        return self.cost[row]
 
 
 class Scorer:
     """Code lengths of whole texts in every language."""
 
-    def __init__(self, model: PpmTable):
-        self.model, self.rows = model, model.lookup()
+    def __init__(self, tables: dict[str, PpmTable]):
+        self.languages = sorted(tables)
+        self.tables = [tables[x] for x in self.languages]
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(texts, languages) sums of bits; bytes of one text may be scored in pieces."""
-        model, n_texts = self.model, len(offsets) - 1
-        out = np.zeros((n_texts, len(model.languages)))
-        code = model.code[data]
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+        """(texts, languages) sums of bits; the bytes of a long text are scored in pieces."""
+        out = np.zeros((len(offsets) - 1, len(self.tables)))
         for a in range(0, len(data), SLICE):
             b = min(a + SLICE, len(data))
-            key = np.zeros(b - a, np.int32)
-            for k in range(ORDER, 0, -1):
-                before = np.zeros(b - a, np.int32)
-                lo = max(a - k, 0)
-                before[b - a - (b - k - lo) :] = code[lo : b - k] if b > k else 0
-                before[place[a:b] < k] = 0
-                key = key * model.size + before
-            bits = model.cost[self.rows[key] * model.size + code[a:b]]
+            lead = max(0, a - ORDER)
             first = np.searchsorted(offsets, a, "right") - 1
             last = np.searchsorted(offsets, b, "left")
-            cuts = np.unique(np.clip(offsets[first:last], a, b - 1)) - a
-            owner = np.searchsorted(offsets, cuts + a, "right") - 1
-            np.add.at(out, owner, np.add.reduceat(bits, cuts, axis=0, dtype=np.float64))
+            cuts = np.unique(np.clip(offsets[first:last], a, b - 1))
+            owner = np.searchsorted(offsets, cuts, "right") - 1
+            starts = offsets[np.searchsorted(offsets, lead, "left") : last] - lead
+            begins = [np.concatenate([starts + j for j in range(k + 1)]) for k in range(ORDER)]
+            begins = [x[x < b - lead] for x in begins]
+            for column, one in enumerate(self.tables):
+                own = one.bits(data[lead:b], begins)
+                out[owner, column] += np.add.reduceat(own, cuts - lead, dtype=np.float64)
         return out
 
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE
-) -> PpmTable:
-    """Context trees from at most ``docs_per_language`` labelled documents of each language."""
+) -> dict[str, PpmTable]:
+    """Context trees by language from at most ``docs_per_language`` labelled documents of each language."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= docs_per_language)
-    ids = F.broadcast(chosen.select("doc_id", F.col("lang").alias("lang_")).distinct())
+    order = (F.xxhash64("doc_id"), "doc_id")
+    # The lowest of each language are among the lowest of its parts, so that no task has all rows of one language.
+    part = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for keys in (("lang", "salt"), ("lang",)):
+        part = part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= docs_per_language)
+    ids = F.broadcast(part.select("doc_id", F.col("lang").alias("lang_")).distinct())
     sampled = labelled.join(ids, (labelled.doc_id == ids.doc_id) & (labelled.lang == ids.lang_), "left_semi").select("lang", "text")
 
     def run(batches):
@@ -202,12 +211,18 @@ def train(
                         names=["lang", "gram", "n"],
                     )
 
-    counts: dict[str, dict[int, int]] = {}
     summed = sampled.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = summed.toArrow()
-    for lang, gram, n in zip(found["lang"].to_pylist(), found["gram"].to_pylist(), found["n"].to_pylist(), strict=True):
-        counts.setdefault(lang, {})[gram] = n
-    return PpmTable(counts)
+    found = summed.toArrow().sort_by("lang")
+    langs = np.array(found["lang"].to_pylist(), object)
+    grams, n = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()
+    cuts = [*np.flatnonzero(np.append(True, langs[1:] != langs[:-1])[: len(langs)]), len(langs)]
+    tables, size = {}, 0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        tables[langs[a]] = PpmTable(grams[a:b], n[a:b])
+        size += tables[langs[a]].nbytes
+        if size > TABLE_BYTES and docs_per_language > 1:
+            return train(docs, id_col, text_col, lang_col, docs_per_language // 2)
+    return tables
 
 
 def held_out(doc_id) -> F.Column:
@@ -215,7 +230,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: PpmTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, PpmTable], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, lang_pred, score, bits_per_byte. One pass, no shuffle."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -244,7 +259,7 @@ def predict(docs: DataFrame, model: PpmTable, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_identified(docs: DataFrame, model: PpmTable, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: dict[str, PpmTable], text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -255,17 +270,17 @@ def keep_identified(docs: DataFrame, model: PpmTable, text_col: str = "text") ->
         for batch in batches:
             texts = text_column(batch, text_col)
             for a, b in slices(texts):
-                lang, _, _ = classify(scorer, texts.slice(a, b - a))
-                yield batch.slice(a, b - a).filter(pa.array([x != UNKNOWN_LANGUAGE for x in lang], pa.bool_()))
+                _, score, _ = classify(scorer, texts.slice(a, b - a))
+                yield batch.slice(a, b - a).filter(pa.array([x > 0 for x in score], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def classify(scorer: Scorer, texts) -> tuple[list[str], list[float], list[float]]:
     """Language, posterior under an even prior, and bits per byte of each text of a large_string array."""
-    languages = scorer.model.languages
+    languages = scorer.languages
     data, offsets = column_bytes(texts)
-    letters = [_LETTER.search(t.as_py()) is not None for t in texts]
+    letters = [has_letter(t) for t in texts.to_pylist()]
     if not languages:
         return [UNKNOWN_LANGUAGE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     bits = scorer.bits(data, offsets)
