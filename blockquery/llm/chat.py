@@ -11,10 +11,15 @@ canonically.
 Long transcripts are decoded in windows of ``WINDOW`` turns that see ``MARGIN``
 turns on either side, so no conversation, however many turns one key holds, is
 gathered whole; up to ``WINDOW`` turns the path is the exact Viterbi path.
+Windows with more than ``PART_ROWS`` rows, as null or repeated turn numbers and
+null ids can make, are dealt over parts by the hash of their rows.
+
+Conversations whose crc32(conv_id as text) mod 3 is 1 are held out of training.
 
 Defined results: null texts are empty turns, null turns sort first, equal turns
 are ordered by role and text, null roles are not trained on and never count as
-recovered; an empty table gives an empty result; other columns are ignored.
+recovered; rows without a conv_id are one conversation; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockquery.session import table
+from blockquery.session import stored, table
 
 ROLES = ("system", "user", "assistant")
 WINDOW, MARGIN = 512, 32
+PART_ROWS = 4 * WINDOW
+BROADCAST_KEYS = 200_000
 TRAIN_CONVERSATIONS = 300
 END = "<|end|>"
 
@@ -143,8 +150,20 @@ class RoleModel:
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    """Canonical form: ``<|role|>``, the text, ``<|end|>``, each on lines of their own."""
-    return "".join(f"<|{role}|>\n{text}\n{END}\n" for role, text in turns)
+    """Canonical form: ``<|role|>``, the text, ``<|end|>``, each on lines of their own.
+
+    Within a text ``<|`` becomes ``<||``, so that no text can hold a marker.
+    """
+    return "".join(f"<|{role}|>\n{escaped(text)}\n{END}\n" for role, text in turns)
+
+
+def escaped(text: str) -> str:
+    return text.replace("<|", "<||")
+
+
+def held_out(conv_id) -> F.Column:
+    """Conversations that no model is trained on; a null id is not held out."""
+    return F.coalesce(F.crc32(conv_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _style(conv_id) -> dict[str, str]:
@@ -157,7 +176,18 @@ def _windowed(conversations: DataFrame) -> DataFrame:
     # Places by turn number: numbers are used as they are when they are the places, so no window function gathers a key.
     place = F.greatest(F.coalesce(F.col("turn"), F.lit(0)), F.lit(0))
     seen = F.sequence(F.floor(F.greatest(place - MARGIN, F.lit(0)) / WINDOW), F.floor((place + MARGIN) / WINDOW))
-    return turns.withColumn("window", F.explode(seen)).withColumn("own", F.floor(place / WINDOW) == F.col("window"))
+    rows = turns.withColumn("window", F.explode(seen)).withColumn("own", F.floor(place / WINDOW) == F.col("window"))
+    keys = ["conv_id", "window"]
+    large = rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > PART_ROWS)
+    large = large.select(F.col("conv_id").alias("id"), F.col("window").alias("at"), "rows")
+    large = stored(large, "large-windows")
+    n = large.count()
+    if not n:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    large = F.broadcast(large) if n <= BROADCAST_KEYS else large
+    part = F.pmod(F.xxhash64("turn", "role", "text"), F.ceil(F.col("rows") / WINDOW))
+    met = rows.join(large, rows.conv_id.eqNullSafe(large.id) & (rows.window == large["at"]), "left")
+    return met.withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).drop("id", "at", "rows")
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -177,16 +207,16 @@ def _groups(batches, keys: tuple[str, ...]):
 
 def train(conversations: DataFrame, limit: int = TRAIN_CONVERSATIONS) -> RoleModel:
     """Tables from at most ``limit`` conversations, those with the lowest hash of their id, in every style."""
-    labelled = conversations.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull())
+    labelled = conversations.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & ~held_out(F.col("conv_id")))
     ids = labelled.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(limit)
     rows = _windowed(labelled.join(F.broadcast(ids), "conv_id", "left_semi")).where("own")
-    rows = rows.repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "turn", "role", "text")
+    rows = rows.repartition("conv_id", "window", "part").sortWithinPartitions("conv_id", "window", "part", "turn", "role", "text")
 
     def run(batches):
         import pyarrow as pa
 
         counts: dict[tuple[str, int, str], int] = {}
-        for (_, window), group in _groups(batches, ("conv_id", "window")):
+        for (_, window, _), group in _groups(batches, ("conv_id", "window", "part")):
             turns = [(r["role"], r["text"]) for r in group]
             for style in STYLES:
                 lines, states = _labelled_lines(turns, style)
@@ -206,19 +236,20 @@ def train(conversations: DataFrame, limit: int = TRAIN_CONVERSATIONS) -> RoleMod
 
 
 def recover_roles(conversations: DataFrame, model: RoleModel) -> DataFrame:
-    """Per (conv_id, window): its turns written as a raw transcript, parsed back and rendered canonically.
+    """Per (conv_id, window, part): its turns written as a raw transcript, parsed back and rendered canonically.
 
-    Columns: conv_id, window, n_turns, n_found (turns that the parse gives),
+    Columns: conv_id, window, part, held_out (of training), n_turns, n_found (turns that the parse gives),
     n_recovered (turns whose role and text come back), roles, rendered_sha256.
     """
-    rows = _windowed(conversations).repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "turn", "role", "text")
+    rows = _windowed(conversations).withColumn("held_out", held_out(F.col("conv_id")))
+    rows = rows.repartition("conv_id", "window", "part").sortWithinPartitions("conv_id", "window", "part", "turn", "role", "text")
     kind = conversations.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         out: list[tuple] = []
-        for (conv_id, window), group in _groups(batches, ("conv_id", "window")):
+        for (conv_id, window, part), group in _groups(batches, ("conv_id", "window", "part")):
             own = [k for k, r in enumerate(group) if r["own"]]
             if not own:
                 continue
@@ -232,20 +263,20 @@ def recover_roles(conversations: DataFrame, model: RoleModel) -> DataFrame:
             truth = [(group[k]["role"], group[k]["text"]) for k in own]
             hits = sum(a == b for a, b in zip(mine, truth, strict=False))
             roles = ",".join(r for r, _ in mine)
-            out.append((conv_id, window, len(truth), len(mine), hits, roles, sha256(render(mine).encode()).hexdigest()))
+            out.append((conv_id, window, part, group[0]["held_out"], len(truth), len(mine), hits, roles, sha256(render(mine).encode()).hexdigest()))
             if len(out) == 1000:
                 yield _batch(pa, out, kind)
                 out = []
         if out:
             yield _batch(pa, out, kind)
 
-    schema = f"conv_id {kind}, window long, n_turns long, n_found long, n_recovered long, roles string, rendered_sha256 string"
+    schema = f"conv_id {kind}, window long, part long, held_out boolean, n_turns long, n_found long, n_recovered long, roles string, rendered_sha256 string"
     return rows.mapInArrow(run, schema)
 
 
 def _batch(pa, rows: list[tuple], kind: str):
-    names = ["conv_id", "window", "n_turns", "n_found", "n_recovered", "roles", "rendered_sha256"]
-    types = [pa.int64() if kind == "bigint" else pa.string() if kind == "string" else None] + [pa.int64()] * 4 + [pa.string()] * 2
+    names = ["conv_id", "window", "part", "held_out", "n_turns", "n_found", "n_recovered", "roles", "rendered_sha256"]
+    types = [pa.int64() if kind == "bigint" else pa.string() if kind == "string" else None] + [pa.int64()] * 2 + [pa.bool_()] + [pa.int64()] * 3 + [pa.string()] * 2
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
