@@ -4,7 +4,8 @@ Two first-order character models are trained from labelled samples: random
 strings (a seeded generator over the alphabets that keys are drawn from, and the
 values that the fixed patterns find in sampled documents) and ordinary
 identifiers (the other tokens of six characters or more in them). A token that no
-pattern covers is added as kind ``markov`` if the random model's log-likelihood
+pattern covers and that has 16 characters or more (a shorter one does not hold
+evidence enough) is added as kind ``markov`` if the random model's log-likelihood
 exceeds the ordinary one's by ``MIN_RATIO`` in all and ``MIN_PER_CHAR`` a
 character.
 
@@ -67,9 +68,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _free(pattern: re.Pattern, text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
-    """Matches of a token pattern that overlap no base span."""
+    """Matches of a token pattern that overlap no base span; both go from left to right."""
+    edges = sorted((a, b) for _, a, b in base)
+    k, covered = 0, 0
     for m in pattern.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in base):
+        # Spans that begin before the match ends: only the furthest end among them matters.
+        while k < len(edges) and edges[k][0] < m.end():
+            covered = max(covered, edges[k][1])
+            k += 1
+        if covered <= m.start():
             yield m.start(), m.end()
 
 
