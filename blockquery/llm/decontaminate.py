@@ -45,6 +45,7 @@ COSINE = 0.35
 LCS_SURE, LCS_MAYBE, ANSWER = 0.6, 0.4, 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32 << 20
+BLOCK_WORDS = 1 << 16
 SCALE_MIN = 16
 BROADCAST_IDS = 500_000
 SHARE_EVENTS = 1 << 20
@@ -362,13 +363,14 @@ def _search(rows: DataFrame, bench: Benchmark) -> DataFrame:
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Blocks of the query set, each within the checked size, by item id."""
     block: list[tuple[int, str]] = []
-    size = 0
+    size, words = 0, set()
     for r in benchmark.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or size + len(r["t"]) > BLOCK_CHARS):
+        if block and (len(block) >= BLOCK_ITEMS or size + len(r["t"]) > BLOCK_CHARS or len(words) >= BLOCK_WORDS):
             yield Benchmark(block)
-            block, size = [], 0
+            block, size, words = [], 0, set()
         block.append((r["i"], r["t"]))
         size += len(r["t"])
+        words.update(r["t"].lower().split())
     if block:
         yield Benchmark(block)
 
