@@ -18,6 +18,7 @@ import struct
 from dataclasses import dataclass, field
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from blockquery.llm.token_count import _NO_PREFIX, _PRETOKEN, CACHE_CHARS, CACHE
 from blockquery.session import table
 
 BATCH_BYTES = 1 << 20
+RUN_WORDS = 2048
 THREADS = 2
 
 # Fixed values of the public model format.
@@ -143,57 +145,125 @@ def build_tokenizer(data: bytes):
     return tokenizer
 
 
+@dataclass
+class Built:
+    """What the driver derives from a model once, shipped to every task."""
+
+    data: bytes
+    split: bool
+    tokenizer: str
+
+    @classmethod
+    def of(cls, data: bytes) -> Built:
+        split = splits_at_marks(data)
+        data = data + _NO_PREFIX if split else data
+        return cls(data, split, build_tokenizer(data).to_str())
+
+
 class Codec:
     """Whole texts to packed little-endian int32 ids and back.
 
-    Where the vocabulary is proven to split at word marks, a slice's distinct
-    pre-tokens are encoded as one multithreaded batch and kept up to a bounded
-    number; the library encodes the same pre-tokens once, for the parity test.
-    Other models encode whole texts.
+    Where the vocabulary is proven to split at word marks, only the distinct
+    words that are not known yet are encoded, ``RUN_WORDS`` of them end to end:
+    the backend splits them again at the same places. The library encodes and
+    decodes the same runs, for the parity test. Known ids are kept up to a
+    bounded number. Texts with unusual spaces or marks go by their pre-tokens,
+    and those of other models whole.
     """
 
-    def __init__(self, data: bytes, verify: bool = True):
+    def __init__(self, built: Built, prefix: bool, verify: bool = True):
         import sentencepiece
-
-        self.model = parse_model(data)
-        self.split = splits_at_marks(data)
-        self.tokenizer = build_tokenizer(data + _NO_PREFIX if self.split else data)
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=data + _NO_PREFIX if self.split else data) if verify else None
-        self.prefix = MARK if self.model.add_dummy_prefix else ""
-        self.known: dict[str, bytes] = {}
+        from tokenizers import Tokenizer
+
+        self.model, self.split = parse_model(built.data), built.split
+        self.tokenizer = Tokenizer.from_str(built.tokenizer)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=built.data) if verify else None
+        self.prefix = MARK if prefix else ""
+        #: ids of words that follow a mark, and of other units
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, _, kind in self.model.pieces]
-
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        if self.library is not None:
-            self.differ.update(u for u, x, y in zip(units, found, self.library.encode(units, num_threads=1), strict=True) if x != y)
-        return {u: struct.pack(f"<{len(x)}i", *x) for u, x in zip(units, found, strict=True)}
+        pieces = self.model.pieces
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in pieces], bool)
+        self.control = np.array([kind == CONTROL for _, _, kind in pieces], bool)
+        spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.length = np.array([len(x) for x in spelled], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def _agrees(self, units: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the library gives the same ids, and both libraries the same text for them."""
+        if self.library is None:
+            return [True] * len(units)
+        own = self.tokenizer.decode_batch(ids)
+        return [x == y and t == u for x, y, t, u in zip(ids, self.library.encode(units, num_threads=1), own, self.library.decode(ids), strict=True)]
+
+    def _encode_units(self, units: list[str]) -> dict[str, bytes]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        self.differ.update(u for u, ok in zip(units, self._agrees(units, ids), strict=True) if not ok)
+        return {u: struct.pack(f"<{len(x)}i", *x) for u, x in zip(units, ids, strict=True)}
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        parts = [words[a : a + RUN_WORDS] for a in range(0, len(words), RUN_WORDS)]
+        runs = [MARK + MARK.join(part) for part in parts]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        out: dict[str, bytes] = {}
+        for part, own, same in zip(parts, ids, self._agrees(runs, ids), strict=True):
+            packed = np.array(own, "<i4")
+            cuts = np.flatnonzero(self.opens[packed])
+            if same and len(cuts) == len(part):
+                blob = packed.tobytes()
+                at = [*(4 * cuts).tolist(), len(blob)]
+                out.update(zip(part, map(blob.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+            else:
+                found = self._encode_units([MARK + w for w in part])
+                self.differ.update(w for w in part if MARK + w in self.differ)
+                out.update((w, found[MARK + w]) for w in part)
+        return out
+
+    def _parts(self, text: str) -> tuple[bool, list[str]]:
+        """(True, words that follow a mark each) or (False, units) of a text."""
+        if not text or not self.split:
+            return False, [text] if text else []
+        if self.prefix and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return True, text.split(" ")
+        return False, _PRETOKEN.findall(self.prefix + text.replace(" ", MARK))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Packed ids of each text, and whether the library gives the same."""
-        if self.split:
-            units = [_PRETOKEN.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        else:
-            units = [[t] if t else [] for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        """Packed ids of each text, and whether the library agrees."""
+        if len(self.words) + len(self.units) > CACHE_ENTRIES:
+            self.words.clear()
+            self.units.clear()
             self.differ.clear()
-        missing = set().union(*units).difference(self.known) if units else ()
-        packed = self._encode(list(missing)) if missing else {}
-        long = [u for u in packed if len(u) > CACHE_CHARS]
-        self.known |= packed
-        ids = [b"".join(map(self.known.__getitem__, u)) for u in units]
-        same = [self.differ.isdisjoint(u) for u in units] if self.differ else [True] * len(units)
-        for u in long:
-            del self.known[u]
+        parts = [self._parts(t) for t in texts]
+        long = []
+        for plain, known, encode in ((True, self.words, self._encode_words), (False, self.units, self._encode_units)):
+            missing = set().union(*(own for p, own in parts if p == plain)).difference(known)
+            if missing:
+                known |= encode(list(missing))
+                long += [(known, u) for u in missing if len(u) > CACHE_CHARS]
+        ids = [b"".join(map((self.words if plain else self.units).__getitem__, own)) for plain, own in parts]
+        same = [self.differ.isdisjoint(own) for _, own in parts] if self.differ else [True] * len(parts)
+        for known, u in long:
+            del known[u]
             self.differ.discard(u)
         return ids, same
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids; bytes that are not UTF-8 become the replacement character."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The texts of lists of ids by the backend; bytes that are not UTF-8 become replacement characters."""
+        texts = self.tokenizer.decode_batch([[i for i in x if not self.control[i]] for x in ids])
+        return [t[1:] if self.split and self.prefix and t[:1] == " " else t for t in texts]
+
+    def spell(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes that the ids of each text spell, all texts at once."""
+        ids = np.frombuffer(b"".join(packed), "<i4")
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[ids] - ends + length, length)
+        out = self.spelled[at].tobytes()
+        cuts = np.append(0, ends)[np.cumsum([0, *(len(x) // 4 for x in packed)])].tolist()
+        drop = 1 if self.prefix else 0
+        return [out[a + drop : b] if out[a : a + 1] == b" " else out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def encode_decode(
@@ -206,12 +276,13 @@ def encode_decode(
 ) -> DataFrame:
     """Per row: id, ids (if kept), n_tokens, ids_sha256 (over little-endian int32 ids), decoded_ok, parity.
 
-    ``decoded_ok`` tells that decoding the ids gives the text back (a text that
-    itself holds the mark character decodes to a space there, as in the
-    library); ``parity`` that the original library gives the same ids (null
-    when not verified). One pass, no shuffle.
+    ``decoded_ok`` tells that what the ids spell is the text (a text that itself
+    holds the mark character has a space there, as in the library); ``parity``
+    that the original library gives the same ids, and the same text for them as
+    the backend (null when not verified). One pass, no shuffle.
     """
     data = read_model(model_path)
+    built, prefix = Built.of(data), parse_model(data).add_dummy_prefix
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_ok boolean, parity boolean"
@@ -219,10 +290,9 @@ def encode_decode(
     def run(batches):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        import numpy as np
         import pyarrow as pa
 
-        codec = Codec(data, verify)
+        codec = Codec(built, prefix, verify)
         for batch in batches:
             texts = text_column(batch, "text")
             for a, b in slices(texts, BATCH_BYTES):
@@ -233,7 +303,7 @@ def encode_decode(
                     batch.column("doc_id").slice(a, b - a),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([sha256(x).hexdigest() for x in packed]),
-                    pa.array([codec.decode(x.tolist()) == t for x, t in zip(ids, part, strict=True)], pa.bool_()),
+                    pa.array([x == t.encode() for x, t in zip(codec.spell(packed), part, strict=True)], pa.bool_()),
                     pa.array(same if verify else [None] * len(part), pa.bool_()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_ok", "parity"]
