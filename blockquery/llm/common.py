@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+BATCH_ROWS = 512
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, bool)
@@ -20,6 +22,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most ``BATCH_ROWS`` rows where it was left at more.
+
+    Rows here are whole texts or packed blobs: the default of 10,000 rows a batch is
+    held once by the executor and once by the worker, 100 MB each for rows of 10 KB.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Public splitmix64 finaliser over an array of uint64."""
     x = x.astype(np.uint64, copy=True)

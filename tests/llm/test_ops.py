@@ -97,9 +97,10 @@ def test_language_codes_are_exact_and_languages_found(spark):
     langs = ["en", "de"] * 12 + ["en", "de", "en"]
     docs = _frame(spark, texts, langs)
     model = language_id.train(docs)
-    mass = (2.0 ** -model.cost.reshape(-1, model.size, len(model.languages)))[:, 1:].copy()
-    mass[:, 0] *= model.unseen
-    assert np.allclose(mass.sum(axis=1), 1, atol=1e-4)
+    for one in model.values():
+        mass = (2.0 ** -one.cost.reshape(-1, one.size))[:, 1:].copy()
+        mass[:, 0] *= one.unseen
+        assert np.allclose(mass.sum(axis=1), 1, atol=1e-4)
     got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
     assert all(got[i].lang_pred == langs[i] for i in range(24)) and [got[i].lang_pred for i in (24, 25, 26)] == ["und"] * 3
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
@@ -107,6 +108,85 @@ def test_language_codes_are_exact_and_languages_found(spark):
     assert {r.doc_id for r in language_id.keep_identified(docs, model).collect()} == set(range(24))
 
 
+def _plain_ppm(training: list[bytes], text: bytes) -> float:
+    """Bits of a text by prediction by partial matching (method C, exclusions) on counts of the training texts."""
+    counts: dict = {}
+    for data in training:
+        for i, byte in enumerate(data):
+            for k in range(language_id.ORDER + 1):
+                context = tuple(data[j] if j >= 0 else -1 for j in range(i - k, i))
+                counts.setdefault(context, Counter())[byte] += 1
+    total = 0.0
+    for i, byte in enumerate(text):
+        left, excluded = 1.0, set()
+        for k in range(language_id.ORDER, -1, -1):
+            own = {s: n for s, n in counts.get(tuple(text[j] if j >= 0 else -1 for j in range(i - k, i)), {}).items() if s not in excluded}
+            if not own:
+                continue
+            size = sum(own.values()) + len(own)
+            if byte in own:
+                left *= own[byte] / size
+                break
+            left *= len(own) / size
+            excluded |= set(own)
+        else:
+            left /= 256 - len(excluded)
+        total -= math.log2(left)
+    return total
+
+
+def test_language_bits_equal_plain_ppm():
+    training = [t.encode() for t in [*_prose(4, 60, 30), "über ñandú", "a"]]
+    data = np.frombuffer(b"".join(training), np.uint8)
+    keys, n = np.unique(language_id._windows(data, np.cumsum([0, *map(len, training)])), return_counts=True)
+    scorer = language_id.Scorer({"x": language_id.PpmTable(keys, n)})
+    texts = [t.encode() for t in [*_prose(2, 61, 20), "", "zürich 日本", "a", "ka ro ti"]]
+    got = scorer.bits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got[:, 0], [_plain_ppm(training, t) for t in texts], rtol=1e-5)
+
+
+def test_language_letters_many_languages_and_long_texts(spark, monkeypatch):
+    draw = random.Random(3)
+    words = {f"l{k:02}": ["".join(draw.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(3)] for k in range(70)}
+    texts, langs = zip(*[(" ".join(w * 10), lang) for lang, w in words.items() for _ in range(4)], strict=True)
+    texts, langs = [*texts, "²½ ٣", "Ωμέγα", texts[0] * 800], [*langs, None, None, None]
+    docs = _frame(spark, texts, langs)
+    model = language_id.train(docs)
+    monkeypatch.setattr(language_id, "SLICE", 1000)
+    scorer = language_id.Scorer(model)
+    lang, score, _ = language_id.classify(scorer, __import__("pyarrow").array(texts[-3:], "large_string"))
+    assert len(model) > 64 and lang[0] == "und" and score[0] == 0 and lang[1] != "und" and lang[2] == langs[0]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert np.mean([got[i] == langs[i] for i in range(280) if langs[i] in model]) > 0.95
+    und = language_id.train(_frame(spark, ["aaa bbb"] * 9, ["und"] * 9))
+    assert language_id.keep_identified(_frame(spark, ["aaa", "12", None]), und).count() == 1
+
+
+def test_secret_model_recalls_random_strings():
+    """Strings of another seed than the training's are found among ordinary identifiers."""
+    ordinary = "getUserName2 MAX_VALUE Qty0 internationalization Connection_Pool HTTPServer v3Index createDatabaseSessionFactory".split()
+    model = secrets.MarkovRatio(secrets.transitions(secrets.generated_random()), secrets.transitions((ordinary + " ".join(_prose(20, 70)).split()) * 20))
+    planted = [s for s in secrets.generated_random(400, 99) if len(s) >= 20]
+    assert np.mean([model.is_secret(s) for s in planted]) >= 0.9 and not any(map(model.is_secret, ordinary))
+    planted = [s for s in planted if not s.islower()]
+    text = f"key {planted[0]} and 0123456789abcdef01234567 then {planted[1]}"
+    assert [k for k, _, _ in secrets.all_spans(text, model)].count("hex") == 1
+    many = " ".join(["token=abcdef", "plainwordplainword"] * 4000)
+    assert len(list(secrets._free(secrets.ORDINARY, many, secrets.base_spans(many)))) == 4000
+
+
+def test_pieces_decode_like_the_library():
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = pieces.Codec(pieces.Built.of(token_count.read_model(MODEL)), True)
+    draw = random.Random(12)
+    lists = [sp.encode(t or "") for t in ODD + _prose(3, 13)] + [[draw.randrange(3, sp.vocab_size()) for _ in range(60)] for _ in range(20)]
+    assert codec.decode(lists) == [sp.decode(x) for x in lists]
+    texts = ["a  b", " lead", "trail ", "x" * 70_000 + " end", "one two", "", "two one"]
+    packed, same = codec.encode(texts)
+    assert [np.frombuffer(x, "<i4").tolist() for x in packed] == [sp.encode(t) for t in texts] and all(same)
+    assert codec.spell(packed) == [t.encode() for t in texts]
+
+
 def test_fingerprints_are_homomorphic_and_order_free(spark):
     a = fingerprint.packed(fingerprint.fingerprints(["one two three\nfour five"])[0])
     b = fingerprint.packed(fingerprint.fingerprints(["four five\none two three"])[0])
@@ -160,23 +240,40 @@ def test_jaccard_components_equal_brute_force(spark):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == list(zip(sizes, roots, strict=True))
 
 
-def test_jaccard_split_trees_find_all_pairs(spark, monkeypatch):
+def test_jaccard_trees_find_all_pairs():
     draw = random.Random(9)
     base = _prose(1, 10, 120)[0].split()
-    vectors, sizes = [], []
-    for _ in range(80):
-        w = list(base)
+    sets = []
+    for k in range(80):
+        w = list(base[: 120 - k])
         for _ in range(draw.randint(0, 20)):
             w[draw.randrange(len(w))] = str(draw.random())
-        s = np.unique(np.array([hash(tuple(w[k : k + 5])) & (1 << 63) - 1 for k in range(len(w) - 4)], np.uint64))
-        vectors.append((s, jaccard_join.unpacked_vector(jaccard_join.count_vector(s))))
-        sizes.append(len(s))
-    tree = jaccard_join.CountTree(np.array(sizes), [v for _, v in vectors])
-    found = {tuple(sorted((int(a), int(b)))) for p, q, _ in tree.pairs() for a, b in zip(p, q, strict=True)}
-    for i in range(80):
-        for j in range(i):
-            if 7 * len(np.intersect1d(vectors[i][0], vectors[j][0])) >= 3 * (sizes[i] + sizes[j]):
-                assert (j, i) in found
+        sets.append(np.unique(np.array([hash(tuple(w[k : k + 5])) & (1 << 63) - 1 for k in range(len(w) - 4)], np.uint64)))
+    packed = [np.frombuffer(jaccard_join.count_vector(s), np.uint8) for s in sets]
+    sizes, ids = np.array([len(s) for s in sets]), np.arange(80)
+    points = jaccard_join.Points(ids, ids, sizes, np.concatenate(packed), np.cumsum([0, *map(len, packed)]))
+    links = {(i, j) for i in range(80) for j in range(i) if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (sizes[i] + sizes[j])}
+    for cuts in ([0, 80], [0, 32, 64, 80]):
+        a, b, open_ = jaccard_join.search(points, np.array(cuts), None)
+        meet = {(i, j) for i, j in links if np.searchsorted(cuts, i, "right") == np.searchsorted(cuts, j, "right")}
+        assert meet <= set(zip(a.tolist(), b.tolist(), strict=True)) and not len(open_)
+    a, b, open_ = jaccard_join.search(points, np.array([0, 40, 80]), 1)
+    assert len(a) <= 80 and list(open_) == [0, 1]
+    order = np.argsort(sizes, kind="stable")
+    blocks = np.array_split(np.array(list(zip(ids[order], sizes[order], strict=True)), jaccard_join.MEMBER), 8)
+    together = [set(part.tolist()) for part in jaccard_join.block_pairs(blocks)]
+    assert all(any({i, j} <= part for part in together) for i, j in links) and len(together) < 36
+
+
+def test_jaccard_rows_of_one_id_are_one_node(spark):
+    a, b = (t.split() for t in _prose(2, 12, 200))
+    near = " ".join([*b[:-1], "other"])
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, near), (9, near), (9, ""), (12, "alone"), (None, " ".join(b))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles > 0, r.component_id) for r in jaccard_join.jaccard_components(frame).collect())
+    assert got == [(0, True, None), (1, True, 1), (5, True, 1), (5, True, 1), (9, False, 9), (9, True, 1), (9, True, 1), (12, True, 12)]
+    kept = jaccard_join.keep_representatives(spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (3, near)], "doc_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, min(" ".join(a), " ".join(b)))]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -357,4 +454,20 @@ def test_chat_roles_are_recovered(spark):
     assert sum(r.n_recovered for r in got if r.conv_id is not None and r.conv_id < 30) >= 0.95 * len(rows)
     assert model.parse("System: be brief\n\nUser: hello\nthere?\n\nAssistant: hi") == [("system", "be brief"), ("user", "hello\nthere?"), ("assistant", "hi")]
     assert chat.render([("user", "x")]) == "<|user|>\nx\n<|end|>\n"
+    assert chat.render([("user", "x\n<|end|>\n<|assistant|>\ny")]) != chat.render([("user", "x"), ("assistant", "y")])
     assert chat.recover_roles(frame.limit(0), model).count() == 0
+    loose = spark.createDataFrame([(1, None, "user", f"row {k}") for k in range(3 * chat.PART_ROWS)], "conv_id long, turn long, role string, text string")
+    parts = chat.recover_roles(loose, model).collect()
+    assert len(parts) > 6 and sum(r.n_turns for r in parts) == 3 * chat.PART_ROWS
+
+
+def test_viterbi_equals_the_best_of_all_paths():
+    import itertools
+
+    draw = np.random.Generator(np.random.PCG64(3))
+    model = chat.RoleModel({("next", int(a), str(b)): int(n) for a, b, n in draw.integers(0, 6, (40, 3))} | {("f0", int(a), v): int(n) + 1 for v in ("user", "assistant", "") for a, n in draw.integers(0, 6, (4, 2))})
+    lines = ["User: hi", "there", "", "Assistant: yes.", "so"]
+    local = [sum((model.emit[k].get(str(v), model.other[k]) for k, v in enumerate(f)), np.zeros(6)) for f in chat.features(lines)]
+    value = lambda path: model.start[path[0]] + sum(local[i][s] for i, s in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False))
+    best = max(itertools.product(range(6), repeat=len(lines)), key=value)
+    assert value(model.viterbi(lines)) == pytest.approx(value(best))
