@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockquery.llm.common import column_bytes, slices, text_column
+from blockquery.llm.common import column_bytes, slices, small_batches, text_column
 from blockquery.session import table
 
 ORDER = 3
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: dict[str, PpmTable], id_col: str = "doc_id",
     """Per row: id, held_out, lang_pred, score, bits_per_byte. One pass, no shuffle."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
@@ -261,7 +261,7 @@ def predict(docs: DataFrame, model: dict[str, PpmTable], id_col: str = "doc_id",
 
 def keep_identified(docs: DataFrame, model: dict[str, PpmTable], text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a language; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockquery.llm.common import slices, text_column
+from blockquery.llm.common import slices, small_batches, text_column
 from blockquery.llm.token_count import _NO_PREFIX, _PRETOKEN, CACHE_CHARS, CACHE_ENTRIES, MARK, read_model, splits_at_marks
 from blockquery.session import table
 
@@ -283,6 +283,7 @@ def encode_decode(
     """
     data = read_model(model_path)
     built, prefix = Built.of(data), parse_model(data).add_dummy_prefix
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_ok boolean, parity boolean"
