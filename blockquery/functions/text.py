@@ -17,9 +17,9 @@ PHI_PATTERNS = (
 )
 SECRET_PATTERNS = (
     (r"sk-[A-Za-z0-9_-]{8,}", "sk-***"),
-    (r"(?i)bearer\s+[A-Za-z0-9._-]{8,}", "Bearer ***"),
-    (r"(?i)([?&](?:key|token|api_key)=)[^&\s]+", "${1}***"),
-    (r"(?i)((?:password|secret|token|api_key)\s*[:=]\s*)\"?[A-Za-z0-9._+/-]{6,}\"?", "${1}***"),
+    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer ***"),
+    (r"(?i)([?&](?:key|token|api[_-]?key)=)[^&\s]+", "${1}***"),
+    (r"(?i)((?:password|secret|token|api[_-]?key)\s*[:=]\s*)\"?[A-Za-z0-9._+/-]{6,}\"?", "${1}***"),
 )
 
 

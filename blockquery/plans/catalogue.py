@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockquery.plans import documents, recognition, tables
+from blockquery.plans import collection, documents, recognition, tables
 
-_MODULES = (documents, tables, recognition)
+_MODULES = (documents, tables, recognition, collection)
 
 FLAGSHIP = documents.decision_summary
 

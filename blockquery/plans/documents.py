@@ -254,7 +254,7 @@ def duplicate_text(spark, sf):
 def export_pivot(spark, sf):
     """One row a document in template order; the gate decides value or unknown, with its reason."""
     g = _guarded(spark, sf)
-    reason = F.when(F.col("review_required") & (F.col("code") != "unknown"), "review_required").when(F.col("code") == "unknown", "unknown_or_missing_value").otherwise("pass_decision")
+    reason = F.when(F.col("review_required"), "review_required").when(F.coalesce(F.col("code"), F.lit("unknown")) == "unknown", "unknown_or_missing_value").otherwise("pass_decision")
     value = F.when(reason == "pass_decision", F.col("code")).otherwise("unknown")
     keys = [p.field_key for p in POLICIES]
     return g.withColumn("reason", reason).withColumn("value", value).groupBy("doc_id").agg(
@@ -329,7 +329,7 @@ SQL = {
     "section_rollup": f"WITH {PARTS} SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs, count(DISTINCT doc_id) AS n_docs, count(*) AS n_blocks, min(doc_id) AS first_doc FROM blocks GROUP BY ALL",
     "markdown_block_scan": r"WITH l AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) - 1 AS line_no FROM documents), r AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS raw FROM l), c AS (SELECT *, list_filter(list_transform(string_split(raw, '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cells FROM r WHERE NOT regexp_matches(raw, '^[\s|:-]*$')), t AS (SELECT doc_id, line_no, CASE WHEN contains(raw, '|') THEN array_to_string(cells, ' | ') ELSE regexp_replace(regexp_replace(raw, '^(#{1,6}\s+|[-*+]\s+|[0-9]+[.)]\s+)', ''), '^\s+|\s+$', '', 'g') END AS text, CASE WHEN regexp_matches(raw, '^#{1,6}\s+') THEN 'title' WHEN contains(raw, '|') THEN 'table' ELSE 'paragraph' END AS block_type, CAST(len(cells) AS INTEGER) AS n_cells FROM c) SELECT doc_id, line_no, md5(text) AS text_md5, block_type, n_cells FROM t WHERE text <> ''",
     "duplicate_text": r"SELECT md5(s) AS signature, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS s FROM documents) WHERE length(s) >= 4 GROUP BY 1 HAVING count(*) > 1",
-    "export_pivot": f"WITH {GUARDED}, r AS (SELECT *, CASE WHEN review_required AND code <> 'unknown' THEN 'review_required' WHEN code = 'unknown' THEN 'unknown_or_missing_value' ELSE 'pass_decision' END AS reason FROM guarded), v AS (SELECT *, CASE WHEN reason = 'pass_decision' THEN code ELSE 'unknown' END AS value FROM r) SELECT doc_id, " + ", ".join(f"max(CASE WHEN field_key = '{p.field_key}' THEN value END) AS {p.field_key}" for p in POLICIES) + ", count(*) FILTER (reason = 'pass_decision') AS n_exported, count(*) FILTER (reason = 'review_required') AS n_review FROM v GROUP BY doc_id",
+    "export_pivot": f"WITH {GUARDED}, r AS (SELECT *, CASE WHEN review_required THEN 'review_required' WHEN coalesce(code, 'unknown') = 'unknown' THEN 'unknown_or_missing_value' ELSE 'pass_decision' END AS reason FROM guarded), v AS (SELECT *, CASE WHEN reason = 'pass_decision' THEN code ELSE 'unknown' END AS value FROM r) SELECT doc_id, " + ", ".join(f"max(CASE WHEN field_key = '{p.field_key}' THEN value END) AS {p.field_key}" for p in POLICIES) + ", count(*) FILTER (reason = 'pass_decision') AS n_exported, count(*) FILTER (reason = 'review_required') AS n_review FROM v GROUP BY doc_id",
     "safe_derivation": f"WITH {PARTS}, {_terms_sql((('kind', 'code', 'token', 0.9), ('kind', 'code', 'password', 0.9), ('kind', 'legal', 'license', 0.9), ('kind', 'legal', 'copyright', 0.8)))} SELECT c.doc_id, c.code, CAST(l.last + 1 AS INTEGER) AS reading_order, 'kind: ' || c.code AS safe_text FROM coded c JOIN (SELECT doc_id, max(reading_order) AS last FROM blocks GROUP BY 1) l USING (doc_id) WHERE n_codes = 1",
     "run_quality": f"WITH {GUARDED}, g AS (SELECT doc_id, count(*) FILTER (auto_accepted) AS accepted, count(*) FILTER (review_required) AS review, count(*) FILTER (code = 'unknown') AS unknown, count(*) AS fields FROM guarded GROUP BY 1), b AS (SELECT doc_id, count(*) AS blocks FROM blocks GROUP BY 1) SELECT g.*, b.blocks, round(CASE WHEN fields - unknown = 0 THEN 1.0 ELSE accepted::DOUBLE / (fields - unknown) END, 6) AS evidence_coverage FROM g LEFT JOIN b USING (doc_id)",
 }

@@ -258,9 +258,11 @@ def case_list_rollup(spark, sf):
 
 
 def runtime_contract(spark, sf):
-    """Expected against observed rows, null-safe: regions' nation counts against five each."""
-    expected = table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.lit(5).cast("long").alias("expected"))
-    observed = table(spark, sf, "nation").where("n_nationkey % 7 <> 3").groupBy(F.col("n_regionkey").alias("k")).agg(F.count("*").alias("observed"))
+    """Expected against observed rows, null-safe: four suppliers for each nation of a region."""
+    nation = table(spark, sf, "nation")
+    expected = nation.groupBy(F.col("n_regionkey").alias("k")).agg((F.count("*") * 4).alias("expected"))
+    supplier = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    observed = supplier.groupBy(F.col("n_regionkey").alias("k")).agg(F.count("*").alias("observed"))
     return expected.join(observed, "k", "full_outer").where(~F.col("expected").eqNullSafe(F.col("observed")))
 
 
@@ -358,7 +360,8 @@ SQL = {
         for x in (("order_without_customer", "orders", "o_custkey", "customer", "c_custkey"), ("customer_without_order", "customer", "c_custkey", "orders", "o_custkey"), ("line_without_order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("part_without_line", "part", "p_partkey", "lineitem", "l_partkey"), ("line_without_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"))
     ),
     "case_list_rollup": "WITH l AS (SELECT l_orderkey AS o_orderkey, count(*) AS results, count(*) FILTER (l_returnflag = 'R') AS review_required, count(*) FILTER (l_linestatus = 'O') AS audits FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(results, 0) AS results, coalesce(review_required, 0) AS review_required, coalesce(audits, 0) AS audits FROM orders LEFT JOIN l USING (o_orderkey) WHERE o_orderstatus <> 'F'",
-    "runtime_contract": "WITH o AS (SELECT n_regionkey AS k, count(*) AS observed FROM nation WHERE n_nationkey % 7 <> 3 GROUP BY 1), e AS (SELECT r_regionkey AS k, 5::BIGINT AS expected FROM region) SELECT k, expected, observed FROM e FULL JOIN o USING (k) WHERE expected IS DISTINCT FROM observed",
+    "runtime_contract": """WITH o AS (SELECT n_regionkey AS k, count(*) AS observed FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+        e AS (SELECT n_regionkey AS k, 4 * count(*) AS expected FROM nation GROUP BY 1) SELECT k, expected, observed FROM e FULL JOIN o USING (k) WHERE expected IS DISTINCT FROM observed""",
     "tile_starts": "WITH p AS (SELECT p_partkey, p_size * 40 AS n FROM part), f AS (SELECT p_partkey, greatest(n - 512, 0) AS flush FROM p), s AS (SELECT p_partkey, list_sort(list_distinct(list_concat(list_filter(range(0, flush + 1, 448), lambda x: x <= flush), [flush]))) AS v FROM f) SELECT p_partkey, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS tile_no, CAST(unnest(v) AS INTEGER) AS start FROM s",
     "table_cells_kv": "WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS row, unnest([0, 1, 2]) AS col, unnest([max(l_returnflag), max(l_linestatus), CAST(CAST(max(l_quantity) AS INTEGER) AS VARCHAR)]) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT table_id, row, col, text AS key, lead(text) OVER (PARTITION BY table_id, row ORDER BY col) AS right_value, last_value(text) OVER (PARTITION BY table_id, col ORDER BY row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below_value FROM c",
     "html_payload_scan": r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\s')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<[a-zA-Z]')) AS INTEGER) AS n_tags, CAST(len(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS INTEGER) AS n_words, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages",
