@@ -47,6 +47,7 @@ FREQUENT_SAMPLE = 4000
 FREQUENT_SHARE = 1 / 250
 LEAF, FANOUT, COARSE = 32, 16, 16
 GROUPS = (64, 512)
+GROUPS_TOLD = 24
 BLOCK = 2048
 LEVELS = 64
 FIRST_PARTNERS = (1,)
@@ -97,8 +98,10 @@ class Points:
     def __init__(self, ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, packed: np.ndarray, cuts: np.ndarray, group=None, all_groups=None):
         """``packed`` holds the vectors' bytes, that of point k from ``cuts[k]`` to ``cuts[k + 1]``.
 
-        With ``group``, that of each point's tree, and ``all_groups``, a list of
-        those that hold the point, a pair counts in the least group that holds both.
+        With ``group``, that of each point's tree, and ``all_groups``, the least
+        ``GROUPS_TOLD`` of those that hold the point (values and cuts), a pair counts
+        in the least group that holds both. Where none of those told is shared it
+        counts in every group: twice is not wrong, only more to write.
         """
         self.ids, self.roots, self.sizes = ids, roots, sizes.astype(np.int64)
         self.group, self.all_groups = group, all_groups
@@ -149,8 +152,9 @@ class Points:
         """Whether the tree's group is the least of those that hold both points."""
         if self.all_groups is None:
             return np.ones(len(p), bool)
-        own = {k: frozenset(self.all_groups[k]) for k in np.unique(np.concatenate([p, q])).tolist()}
-        return np.array([min(own[a] & own[b]) == g for a, b, g in zip(p.tolist(), q.tolist(), self.group[p].tolist(), strict=True)], bool)
+        values, cuts = self.all_groups
+        own = {k: frozenset(values[cuts[k] : cuts[k + 1]].tolist()) for k in np.unique(np.concatenate([p, q])).tolist()}
+        return np.array([min(own[a] & own[b], default=g) == g for a, b, g in zip(p.tolist(), q.tolist(), self.group[p].tolist(), strict=True)], bool)
 
 
 class CountTree:
@@ -454,13 +458,13 @@ def _members(pa, *columns):
 def candidates(groups: DataFrame, points: DataFrame, partners: int | None, first_round: bool) -> DataFrame:
     """(a, b, name): pairs a > b that the trees leave to verify, and without a pair the groups that kept some back.
 
-    Rounds of several partners tell each point all its groups, as many as it has
-    routes at most, so that a pair comes out of one group and not of each that it shares.
+    Rounds of several partners tell each point its least groups, so that a pair
+    comes out of one group and not of each that it shares.
     """
     members = tree_members(groups, first_round)
     once = not first_round and partners != 1
     if once:
-        members = members.join(members.groupBy("doc_id").agg(F.collect_set("name").alias("names")), "doc_id")
+        members = members.join(members.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, GROUPS_TOLD).alias("names")), "doc_id")
     members = members.join(points, "doc_id")
     trees = members.repartition("name", "tree").sortWithinPartitions("name", "tree", "doc_id")
 
@@ -475,7 +479,10 @@ def candidates(groups: DataFrame, points: DataFrame, partners: int | None, first
             packed = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]
             edge = np.flatnonzero((names[1:] != names[:-1]) | (trees_[1:] != trees_[:-1])) + 1
             edge = np.concatenate([[0], edge, [len(names)]])
-            all_groups = table.column(6).to_pylist() if once else None
+            all_groups = None
+            if once:
+                lists = table.column(6).combine_chunks()
+                all_groups = lists.values.to_numpy(), lists.offsets.to_numpy()
             a, b, open_ = search(Points(ids, roots, sizes, packed, cuts - cuts[0], names, all_groups), edge, partners)
             open_ = np.unique(names[edge[open_]])
             none = pa.nulls(len(open_), pa.int64())
