@@ -33,3 +33,21 @@ def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f g", "x", "s", 1)] * 2 + [(None, "a b c d e f g", "x", "s", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in jaccard_join.keep_representatives(frame).collect()) == ["1", "None"]
+
+
+def test_written_tables_return_the_drivers_garbage(spark, monkeypatch):
+    """Each written table has the driver collect and trim, if the last time is long enough ago."""
+    from blockquery import session
+
+    said, real = [], session.give_back
+    monkeypatch.setattr(session, "give_back", lambda s: said.append(real(s)))
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    left = spark.sparkContext._jvm.java.nio.ByteBuffer.allocate(200 << 20)
+    before = used()
+    spark.sparkContext._gateway.detach(left)
+    for seconds in (0.0, 3600.0):
+        monkeypatch.setattr(session, "GIVE_BACK_EVERY", seconds)
+        assert session.stored(spark.range(7), "given-back").count() == 7
+    assert said == [True, False]
+    assert used() < before - 150
